@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from .bpe_codec import op2_byte_bpe
+from .ctw import op4_ctw_score
 from .secret_scan import op3_secret_scan
 from .sharding import op1_jump_sharding
 
-QUERIES = {f.__name__: f for f in (op1_jump_sharding, op2_byte_bpe, op3_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_jump_sharding, op2_byte_bpe, op3_secret_scan, op4_ctw_score)}
 SQL: dict[str, str] = {}
