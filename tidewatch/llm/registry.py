@@ -6,6 +6,7 @@ from .bpe_codec import op2_byte_bpe
 from .ctw import op4_ctw_score
 from .secret_scan import op3_secret_scan
 from .sharding import op1_jump_sharding
+from .toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_jump_sharding, op2_byte_bpe, op3_secret_scan, op4_ctw_score)}
+QUERIES = {f.__name__: f for f in (op1_jump_sharding, op2_byte_bpe, op3_secret_scan, op4_ctw_score, op6_toxicity)}
 SQL: dict[str, str] = {}
