@@ -5,10 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 #: Rows and bytes of an Arrow batch handed to Python: bounds a worker's memory also when texts are very long.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
@@ -55,13 +58,21 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def arrow_schema(ddl: str) -> pa.Schema:
+    return to_arrow_schema(_parse_datatype_string(ddl))
+
+
+def grouped_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """Runs of rows that are equal in their first ``width`` columns, streamed; the rows come without these."""
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    for key, run in groupby(rows, key=lambda r: r[:width]):
+        yield key, (r[width:] for r in run)
+
+
 def map_columns(df: DataFrame, make: Callable[[], Callable[..., list]], schema: str) -> DataFrame:
     """mapInArrow for functions of whole columns: make() is called once per task; its result gets the columns as Python
     lists and returns a list of output columns (Arrow arrays or lists)."""
-    from pyspark.sql.types import _parse_datatype_string
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    out = to_arrow_schema(_parse_datatype_string(schema))
+    out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
@@ -79,23 +90,18 @@ def numbered(df: DataFrame, group: list[str], order: list[str], out: str, weight
 
     A group of any size is spread over as many buckets as there are shuffle partitions: buckets are counted (partial
     sums before the shuffle), the counts are summed up per group, and rows are numbered within their bucket. With
-    ``weight`` a row takes that many numbers and gets the first. Rows equal in ``order`` are interchangeable.
+    ``weight`` a row takes that many numbers and gets the first. Rows equal in ``order`` are interchangeable. Group
+    columns are never null, so that the counts join by plain equality, without moving the rows again.
     """
     held = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(shuffle_width(df.sparkSession))))
     n = F.col(weight) if weight else F.lit(1).cast("long")
     sums = held.groupBy(*group, "_b").agg(F.sum(n).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    for c in group:
-        sums = sums.withColumnRenamed(c, f"_g_{c}")
-    sums = sums.withColumnRenamed("_b", "_gb")
     inner = Window.partitionBy(*group, "_b").orderBy(*order)
     rank = F.coalesce(F.sum(n).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if weight else F.row_number().over(inner).cast("long") - 1
     rows = held.withColumn("_r", rank)
-    on: Column = rows["_b"] == sums["_gb"]
-    for c in group:
-        on = on & rows[c].eqNullSafe(sums[f"_g_{c}"])
-    return rows.join(sums, on).withColumn(out, F.col("_r") + F.col("_base")).select(*df.columns, out)
+    return rows.join(sums, [*group, "_b"]).withColumn(out, F.col("_r") + F.col("_base")).select(*df.columns, out)
 
 
 def repeated(df: DataFrame, weight: str, out: str, step: int = 4096) -> DataFrame:

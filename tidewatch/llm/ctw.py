@@ -26,9 +26,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import durable, shuffle_width, small_batches, table
+from .common import arrow_schema, durable, grouped_rows, shuffle_width, small_batches, table
 
 #: Context bytes.
 DEPTH = 5
@@ -201,15 +200,9 @@ def _emit(shape: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), shape, strict=True)], schema=shape)
 
 
-def _arrow(schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(T._parse_datatype_string(schema))
-
-
 def asked(df: DataFrame, shards: int) -> DataFrame:
     """BLOCK rows of each input partition: its distinct grams and words with the counts from training rows (0: none)."""
-    shape = _arrow(BLOCK)
+    shape = arrow_schema(BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, grams, words = TaskContext.get().partitionId(), (np.zeros(0, U), np.zeros(0, np.int64)), {}
@@ -258,21 +251,12 @@ def word_list(data: bytes) -> list[bytes]:
     return zlib.decompress(data).split(b" ")
 
 
-def grouped_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
-    """Runs of rows that are equal in their first ``width`` columns, streamed; the rows come without these."""
-    from itertools import groupby
-
-    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-    for key, run in groupby(rows, key=lambda r: r[:width]):
-        yield key, (r[width:] for r in run)
-
-
 MODEL = "words int, shard int, pid int, keys binary, n binary, top binary"
 
 
 def merged_shards(blocks: DataFrame, shards: int) -> DataFrame:
     """One MODEL row (pid -1) a shard: its distinct keys with their counts over all partitions, and its part of the top."""
-    shape = _arrow(MODEL)
+    shape = arrow_schema(MODEL)
 
     def run(batches):
         for (kind, shard), rows in grouped_rows(batches, 2):
@@ -323,7 +307,7 @@ def summed_top(model: DataFrame) -> tuple[dict[str, np.ndarray], int, int]:
 
 def answered(blocks: DataFrame, model: DataFrame, top: dict[str, np.ndarray], shards: int) -> DataFrame:
     """BLOCK rows for each input partition again, with the prices (grams, float64) or training counts (words) as n."""
-    shape, held = _arrow(BLOCK), blocks.sparkSession.sparkContext.broadcast(top)
+    shape, held = arrow_schema(BLOCK), blocks.sparkSession.sparkContext.broadcast(top)
 
     def run(batches):
         for (kind, shard), rows in grouped_rows(batches, 2):
@@ -359,7 +343,7 @@ def ctw_scores(df: DataFrame, key: str = "doc_id", text: str = "text", held_out=
     back = answered(blocks, model, top, shards)
     kind = dict(df.dtypes)[key]
     schema = f"key {kind}, held_out boolean, {SCORE}"
-    shape, floor = _arrow(schema), np.log10(max(1, n_train + v + 1))
+    shape, floor = arrow_schema(schema), np.log10(max(1, n_train + v + 1))
 
     def run(batches):
         for (_,), rows in grouped_rows(batches, 1):
