@@ -11,14 +11,20 @@ from pyspark.sql import types as T
 LABELS = T.MapType(T.StringType(), T.StringType())
 ATTRIBUTES = T.MapType(T.StringType(), T.VariantType())
 
-METRICS = T.StructType.fromDDL("name string, kind string, labels map<string,string>, series_id bigint, ts_ms bigint, value double, seq bigint")
-SERIES = T.StructType.fromDDL("series_id bigint, name string, kind string, labels map<string,string>")
-SPANS = T.StructType.fromDDL(
-    "trace_id string, span_id string, parent_span_id string, name string, kind string, start_ns bigint, end_ns bigint, status string, attributes map<string,variant>, resource map<string,variant>, service string, seq bigint"
-)
-LOGS = T.StructType.fromDDL(
-    "ts_ns bigint, severity string, severity_num int, body string, attributes map<string,variant>, resource map<string,variant>, service string, trace_id string, span_id string, seq bigint"
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "labels": LABELS, "attributes": ATTRIBUTES}
+
+
+def _schema(text: str) -> T.StructType:
+    """Columns as "name:type ..." (no session is needed, unlike for DDL)."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split(":") for c in text.split())])
+
+
+METRICS = _schema("name:string kind:string labels:labels series_id:bigint ts_ms:bigint value:double seq:bigint")
+SERIES = _schema("series_id:bigint name:string kind:string labels:labels")
+SPANS = _schema(
+    "trace_id:string span_id:string parent_span_id:string name:string kind:string start_ns:bigint end_ns:bigint status:string attributes:attributes resource:attributes service:string seq:bigint"
 )
+LOGS = _schema("ts_ns:bigint severity:string severity_num:int body:string attributes:attributes resource:attributes service:string trace_id:string span_id:string seq:bigint")
 
 #: Fixed values of the signal formats.
 SEVERITIES = ("Trace", "Debug", "Info", "Warn", "Error", "Fatal")

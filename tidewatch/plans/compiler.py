@@ -60,7 +60,7 @@ def between_ns(rows: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
 def instant(store: Store, select: L.Select, at_ns: int) -> DataFrame:
     """The last sample of each series up to the instant, however old."""
     rows = between_ns(matching(store.metrics, select), 0, at_ns)
-    last = rows.groupBy("series_id").agg(F.first("labels").alias("labels"), F.max_by("value", F.struct("ts_ms", "seq")).alias("value"))
+    last = rows.groupBy("series_id", "labels").agg(F.max_by("value", F.struct("ts_ms", "seq")).alias("value"))
     return last.select("labels", "value")
 
 
@@ -79,7 +79,8 @@ def over_range(store: Store, f: L.Func, at_ns: int) -> DataFrame:
             "count_over_time": lambda: F.count(v).cast("double"),
             "quantile_over_time": lambda: X.linear_quantile(v, f.param),
         }[f.name]()
-        found = rows.groupBy("series_id").agg(F.first("labels").alias("labels"), value.alias("value"))
+        # Labels are a group column, not a first(): a map in the buffer would force a sort in place of hashing.
+        found = rows.groupBy("series_id", "labels").agg(value.alias("value"))
     if f.name in KEEP_EMPTY:
         series = matching(store.series, f.input).select("series_id", "labels")
         found = series.join(found.drop("labels"), "series_id", "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
@@ -97,8 +98,7 @@ def _counter(rows: DataFrame, name: str, start_ms: int, end_ms: int) -> DataFram
     steps = dealt.withColumn("last", before)
     # NaN compares above every number in Spark: a step from or to it is NaN, as for any comparison that fails.
     step = F.when(F.isnan("last") | F.isnan("value"), F.when(F.col("last").isNull(), 0.0).otherwise(F.col("value"))).otherwise(grown(F.col("value"), F.col("last")))
-    parts = steps.withColumn("step", step).groupBy("series_id", "part").agg(
-        F.first("labels").alias("labels"),
+    parts = steps.withColumn("step", step).groupBy("series_id", "labels", "part").agg(
         F.sum("step").alias("inside"),
         F.min_by("value", order).alias("head"),
         F.max_by("value", order).alias("tail"),
@@ -108,8 +108,8 @@ def _counter(rows: DataFrame, name: str, start_ms: int, end_ms: int) -> DataFram
     )
     parts = parts.withColumn("last", F.lag("tail").over(Window.partitionBy("series_id").orderBy("part")))
     link = F.when(F.col("last").isNull(), 0.0).when(F.isnan("last") | F.isnan("head"), F.col("head")).otherwise(grown(F.col("head"), F.col("last")))
-    whole = parts.withColumn("link", link).groupBy("series_id").agg(
-        F.first("labels").alias("labels"), (F.sum("inside") + F.sum("link")).alias("grown"), (F.max("high") - F.min("low")).alias("span"), F.sum("n").alias("n")
+    whole = parts.withColumn("link", link).groupBy("series_id", "labels").agg(
+        (F.sum("inside") + F.sum("link")).alias("grown"), (F.max("high") - F.min("low")).alias("span"), F.sum("n").alias("n")
     )
     if name == "increase":
         return whole.select("series_id", "labels", F.col("grown").alias("value"))

@@ -5,6 +5,372 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import exprs as X
+from ..operators import codec, correlate, detectors, lookups, views
+from ..sources import driver_tables as D
+from ..sources import envelope, simulator
+from ..store import with_series_id
+from ..streaming import live
+from . import compiler, language
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _flat(result: DataFrame, *labels: str, digits: int = 6) -> DataFrame:
+    return result.select(*(F.col("labels")[k].alias(k) for k in labels), F.round("value", digits).alias("value"))
+
+
+def _register(name: str, text: str, labels: tuple[str, ...], sql: str, digits: int = 6) -> None:
+    """A query of the language at the time of the last event."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _flat(compiler.query(D.store(spark, sf_dir), text, D.last_event_ns(spark, sf_dir)), *labels, digits=digits)
+
+    run.__name__, run.__doc__ = name, text
+    QUERIES[name], SQL[name] = run, sql
+
+
+_BOTH = ("event_type", "bucket")
+_M = f"WITH {D.M_SQL}, e AS (SELECT max(ts_ms) AS upto FROM m), s AS (SELECT DISTINCT event_type, bucket FROM m)"
+_CTR = f"WITH {D.CTR_SQL}, e AS (SELECT max(ts_ms) AS upto FROM ctr), s AS (SELECT DISTINCT event_type FROM ctr)"
+_DAY, _HOUR = 86_400_000, 3_600_000
+
+
+def _over(value: str, ms: int) -> str:
+    return f"{_M} SELECT event_type, bucket, round({value}, 6) AS value FROM m, e WHERE ts_ms BETWEEN upto - {ms} AND upto GROUP BY event_type, bucket"
+
+
+def _over_kept(value: str, ms: int) -> str:
+    return f"""{_M}, v AS (SELECT event_type, bucket, {value} AS value FROM m, e WHERE ts_ms BETWEEN upto - {ms} AND upto GROUP BY event_type, bucket)
+SELECT s.event_type, s.bucket, round(coalesce(value, 0.0), 6) AS value FROM s LEFT JOIN v ON s.event_type = v.event_type AND s.bucket = v.bucket"""
+
+
+_register("instant_last", "event_value", _BOTH, f"{_M} SELECT event_type, bucket, round(arg_max(value, seq), 6) AS value FROM m GROUP BY event_type, bucket")
+_register(
+    "matcher_eq_ne", 'event_value{event_type="click", bucket!="0"}', _BOTH,
+    f"{_M} SELECT event_type, bucket, round(arg_max(value, seq), 6) AS value FROM m WHERE event_type = 'click' AND bucket <> '0' GROUP BY event_type, bucket",
+)
+_register("matcher_absent_label", 'events_total{bucket!="1"}', ("event_type",), f"{_CTR} SELECT event_type, arg_max(value, seq) AS value FROM ctr GROUP BY event_type")
+_register("count_over_time", "count_over_time(event_value[1h])", _BOTH, _over_kept("CAST(count(*) AS DOUBLE)", _HOUR))
+_register("sum_over_time", "sum_over_time(event_value[1h])", _BOTH, _over_kept("sum(value)", _HOUR))
+_register("avg_over_time", "avg_over_time(event_value[10d])", _BOTH, _over("avg(value)", 10 * _DAY))
+_register("min_over_time", "min_over_time(event_value[10d])", _BOTH, _over("min(value)", 10 * _DAY))
+_register("max_over_time", "max_over_time(event_value[10d])", _BOTH, _over("max(value)", 10 * _DAY))
+_register("quantile_over_time", "quantile_over_time(0.95, event_value[10d])", _BOTH, _over("quantile_cont(value, 0.95)", 10 * _DAY))
+
+
+def _counted(select: str) -> str:
+    return f"""{_CTR}, w AS (SELECT *, lag(value) OVER (PARTITION BY event_type ORDER BY ts_ms, seq) AS last FROM ctr, e WHERE ts_ms BETWEEN upto - {10 * _DAY} AND upto),
+g AS (SELECT event_type, sum(CASE WHEN last IS NULL THEN 0 WHEN value >= last THEN value - last ELSE value END) AS grown, (max(ts_ms) - min(ts_ms)) / 1000.0 AS secs, count(*) AS n FROM w GROUP BY event_type)
+{select}"""
+
+
+_register("increase", "increase(events_total[10d])", ("event_type",), _counted("SELECT s.event_type, round(coalesce(grown, 0.0), 6) AS value FROM s LEFT JOIN g ON s.event_type = g.event_type"))
+_register("rate", "rate(events_total[10d])", ("event_type",), _counted("SELECT event_type, round(grown / secs, 9) AS value FROM g WHERE n >= 2 AND secs > 0"), digits=9)
+
+_COUNTS = f"{_M}, c AS (SELECT event_type, bucket, CAST(count(*) AS DOUBLE) AS v FROM m, e WHERE ts_ms BETWEEN upto - {10 * _DAY} AND upto GROUP BY event_type, bucket)"
+_AVERAGES = f"{_M}, c AS (SELECT event_type, bucket, avg(value) AS v FROM m, e WHERE ts_ms BETWEEN upto - {10 * _DAY} AND upto GROUP BY event_type, bucket)"
+_register("agg_sum_by", "sum by (event_type) (count_over_time(event_value[10d]))", ("event_type",), f"{_COUNTS} SELECT event_type, sum(v) AS value FROM c GROUP BY event_type")
+_register("agg_avg_without", "avg without (event_type) (avg_over_time(event_value[10d]))", ("bucket",), f"{_AVERAGES} SELECT bucket, round(avg(v), 6) AS value FROM c GROUP BY bucket")
+_register("agg_min", "min(avg_over_time(event_value[10d]))", (), f"{_AVERAGES} SELECT round(min(v), 6) AS value FROM c")
+_register("agg_max", "max by (bucket) (avg_over_time(event_value[10d]))", ("bucket",), f"{_AVERAGES} SELECT bucket, round(max(v), 6) AS value FROM c GROUP BY bucket")
+_register("agg_count", "count without (bucket) (event_value)", ("event_type",), f"{_M} SELECT event_type, CAST(count(*) AS DOUBLE) AS value FROM s GROUP BY event_type")
+_register("agg_quantile", "quantile by (bucket) (0.5, avg_over_time(event_value[10d]))", ("bucket",), f"{_AVERAGES} SELECT bucket, round(quantile_cont(v, 0.5), 6) AS value FROM c GROUP BY bucket")
+_register("arith_vector_scalar", "avg_over_time(event_value[10d]) / 1000 + 2 * 3", _BOTH, f"{_AVERAGES} SELECT event_type, bucket, round(v / 1000 + 6, 6) AS value FROM c")
+_register("arith_scalar_vector", "1000 - avg_over_time(event_value[10d]) * 2", _BOTH, f"{_AVERAGES} SELECT event_type, bucket, round(1000 - v * 2, 6) AS value FROM c")
+_register("neg", "-avg_over_time(event_value[10d])", _BOTH, f"{_AVERAGES} SELECT event_type, bucket, round(-v, 6) AS value FROM c")
+
+
+@query("SELECT 'inf' AS zero_divisor, CAST(7.0 AS DOUBLE) AS value")
+def arith_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query of numbers only is a number."""
+    store = D.store(spark, sf_dir)
+    return spark.createDataFrame([(str(compiler.query(store, "1 / 0", 0)), compiler.query(store, "1 + 2 * 3", 0))], "zero_divisor string, value double")
+
+
+# Spans and logs. The window of the traces: the last 400 days of orders; of the logs: the last 2 days.
+_SPANS = f"WITH {D.SPANS_SQL}, r AS (SELECT * FROM spans WHERE parent_span_id IS NULL), e AS (SELECT max(start_ns) AS upto FROM r)"
+_SPAN_WINDOW, _LOG_WINDOW = 400 * _DAY * 1_000_000, 2 * _DAY * 1_000_000
+
+
+def _last_order_ns(spark: SparkSession, sf_dir: str) -> int:
+    return D.read(spark, sf_dir, "orders").agg(F.max(D.ns_of("o_orderdate"))).first()[0] or 0
+
+
+@query(
+    f"""{_SPANS} SELECT trace_id, name AS operation, service, dur / 1e6 AS duration_ms, start_ns, status = 'Error' AS failed FROM r, e
+WHERE start_ns BETWEEN upto - {_SPAN_WINDOW} AND upto ORDER BY dur DESC, seq LIMIT 50"""
+)
+def trace_list_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    end = _last_order_ns(spark, sf_dir)
+    return lookups.trace_list(D.store(spark, sf_dir), end - _SPAN_WINDOW, end, 50)
+
+
+_TRACE = "0" * 31 + "7"
+
+
+@query(f"{_SPANS} SELECT span_id, parent_span_id, name, service, status, start_ns, dur / 1e6 AS duration_ms FROM spans WHERE trace_id = '{_TRACE}'")
+def trace_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.trace_detail(D.store(spark, sf_dir), _TRACE)[0].drop("attributes", "kind")
+
+
+@query(f"WITH {D.LOGS_SQL} SELECT ts_ns AS timestamp_ns, severity, body, trace_id FROM logs WHERE trace_id = '{_TRACE}'")
+def trace_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.trace_detail(D.store(spark, sf_dir), _TRACE)[1].drop("service", "span_id")
+
+
+@query(
+    f"""WITH {D.SPANS_SQL}, {D.LOGS_SQL} SELECT severity, count(*) AS pairs, count(DISTINCT s.trace_id) AS traces FROM spans s JOIN logs g ON s.trace_id = g.trace_id GROUP BY severity"""
+)
+def spans_join_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.spans_with_logs(D.store(spark, sf_dir)).groupBy("severity").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("trace_id").alias("traces"))
+
+
+@query(
+    f"""WITH {D.LOGS_SQL}, e AS (SELECT max(ts_ns) AS upto FROM logs) SELECT ts_ns AS timestamp_ns, severity, body, trace_id FROM logs, e
+WHERE ts_ns BETWEEN upto - {_LOG_WINDOW} AND upto AND severity_num >= 3 ORDER BY ts_ns DESC, seq LIMIT 100"""
+)
+def log_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    end = D.last_event_ns(spark, sf_dir)
+    return lookups.log_list(D.store(spark, sf_dir), end - _LOG_WINDOW, end, "WARN", 100).drop("service", "span_id")
+
+
+@query(
+    f"""{_SPANS}, w AS (SELECT s.* FROM r JOIN e ON r.start_ns BETWEEN upto - 60000000000 AND upto JOIN spans s ON s.trace_id = r.trace_id),
+g AS (SELECT service, count(*) AS calls, count(*) FILTER (status = 'Error') AS errors, list_sort(list(dur / 1e6)) AS d FROM w GROUP BY service)
+SELECT service, calls, round(calls / 60.0, 6) AS rps, round(errors / calls, 6) AS error_rate, round(d[CAST(round(0.5 * (calls - 1)) AS BIGINT) + 1], 6) AS p50,
+round(d[CAST(round(0.95 * (calls - 1)) AS BIGINT) + 1], 6) AS p95, round(d[CAST(round(0.99 * (calls - 1)) AS BIGINT) + 1], 6) AS p99 FROM g"""
+)
+def service_red(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.services(D.store(spark, sf_dir), _last_order_ns(spark, sf_dir))
+    return rows.select("service", "calls", *(F.round(c, 6).alias(c) for c in ("rps", "error_rate", "p50", "p95", "p99")))
+
+
+@query(
+    f"""{_SPANS}, k AS (SELECT trace_id, parent_span_id, sum(dur) AS kids FROM spans WHERE parent_span_id IS NOT NULL GROUP BY ALL)
+SELECT s.trace_id, s.span_id, CAST(greatest(dur - coalesce(kids, 0), 0) AS BIGINT) AS self_ns FROM spans s LEFT JOIN k ON s.trace_id = k.trace_id AND s.span_id = k.parent_span_id"""
+)
+def self_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlate.self_times(D.store(spark, sf_dir).spans).select("trace_id", "span_id", "self_ns")
+
+
+_WORST = """k AS (SELECT trace_id, parent_span_id, sum(dur) AS kids FROM spans WHERE parent_span_id IS NOT NULL GROUP BY ALL),
+t AS (SELECT s.*, greatest(dur - coalesce(kids, 0), 0) AS own FROM spans s LEFT JOIN k ON s.trace_id = k.trace_id AND s.span_id = k.parent_span_id),
+b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY own DESC, start_ns DESC, seq DESC) = 1)"""
+
+
+@query(f"{_SPANS}, {_WORST} SELECT trace_id, service, name, CAST(dur AS BIGINT) AS dur_ns, CAST(own AS BIGINT) AS self_ns FROM b")
+def bottleneck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlate.bottlenecks(D.store(spark, sf_dir).spans)
+
+
+_TOP = f"top AS (SELECT *, row_number() OVER (ORDER BY dur DESC, seq) AS rank FROM r, e WHERE start_ns BETWEEN upto - {_SPAN_WINDOW} AND upto QUALIFY rank <= 5)"
+
+
+@query(
+    f"""{_SPANS}, {_WORST}, {_TOP} SELECT CAST(rank AS INTEGER) AS rank, top.trace_id, top.name AS root_op, top.dur / 1e6 AS duration_ms, top.status = 'Error' AS failed,
+b.service AS bottleneck_service, b.name AS bottleneck_op, b.dur / 1e6 AS bottleneck_ms FROM top JOIN b ON top.trace_id = b.trace_id"""
+)
+def explain_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    end = _last_order_ns(spark, sf_dir)
+    return correlate.explain(D.store(spark, sf_dir), end - _SPAN_WINDOW, end, 5)[0]
+
+
+@query(
+    f"""WITH {D.SPANS_SQL}, {D.LOGS_SQL}, r AS (SELECT * FROM spans WHERE parent_span_id IS NULL), e AS (SELECT max(start_ns) AS upto FROM r), {_TOP.replace("rank <= 5", "rank <= 200")}
+SELECT ts_ns AS timestamp_ns, severity, body, g.trace_id FROM top JOIN logs g ON top.trace_id = g.trace_id WHERE severity_num >= 4"""
+)
+def explain_error_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    end = _last_order_ns(spark, sf_dir)
+    return correlate.explain(D.store(spark, sf_dir), end - _SPAN_WINDOW, end, 200)[1].drop("service", "span_id")
+
+
+@query(
+    f"""{_SPANS}, f AS (SELECT trace_id, arg_min(start_ns, seq) AS t0, greatest(arg_min(dur, seq), 1) AS total FROM r GROUP BY trace_id),
+o AS (SELECT s.trace_id, span_id, dur, total, least(floor(greatest(start_ns - t0, 0) / total * 36), 35) AS o FROM spans s JOIN f ON s.trace_id = f.trace_id)
+SELECT trace_id, span_id, CAST(o AS INTEGER) AS "offset", CAST(greatest(least(round(dur / total * 36), 36 - o), 1) AS INTEGER) AS size FROM o"""
+)
+def waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlate.waterfall(D.store(spark, sf_dir).spans)
+
+
+@query(f"{_SPANS} SELECT p.service AS caller, c.service AS callee, count(*) AS calls FROM spans c JOIN spans p ON c.trace_id = p.trace_id AND c.parent_span_id = p.span_id GROUP BY ALL")
+def service_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlate.service_edges(D.store(spark, sf_dir).spans)
+
+
+@query(f"{_SPANS} SELECT 'request' AS kind, trace_id, name AS route, CASE WHEN status = 'Error' THEN 500 ELSE 200 END AS status, dur / 1e6 AS duration_ms, status = 'Error' AS failed, end_ns AS timestamp_ns FROM r")
+def request_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.request_events(D.store(spark, sf_dir).spans)
+
+
+@query(f"{_SPANS} SELECT max(start_ns) AS latest_ns FROM spans")
+def latest_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.latest(D.store(spark, sf_dir).spans)
+
+
+# Detectors: one series for each event type, in order of time.
+def _typed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = D.gauges(D.read(spark, sf_dir, "events").withColumn("_ns", D.ns_of("ts")))
+    return with_series_id(events.withColumn("labels", F.map_filter("labels", lambda k, _: k == "event_type")))
+
+
+def _detected(points: DataFrame, found: DataFrame) -> DataFrame:
+    names = points.select("series_id", F.col("labels")["event_type"].alias("event_type")).distinct()
+    return found.join(names, "series_id").select("event_type", "timestamp_ms", "observed", F.round("expected", 6).alias("expected"), F.round("score", 6).alias("score"))
+
+
+_P = f"WITH RECURSIVE {D.M_SQL}, p AS (SELECT event_type, ts_ms, value, row_number() OVER (PARTITION BY event_type ORDER BY ts_ms, seq) AS i FROM m)"
+_FOUND = "SELECT event_type, ts_ms AS timestamp_ms, x AS observed, round(expected, 6) AS expected, round(score, 6) AS score"
+
+
+@query(
+    f"""{_P}, f AS (SELECT event_type, ts_ms, value AS x, i, list(value) OVER (PARTITION BY event_type ORDER BY i ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING) AS base FROM p),
+c AS (SELECT *, list_median(base) AS expected FROM f WHERE i > 40), z AS (SELECT *, list_median(list_transform(base, lambda v: abs(v - expected))) AS mad FROM c),
+s AS (SELECT *, abs(0.6745 * (x - expected) / mad) AS score FROM z WHERE mad > 0) {_FOUND} FROM s WHERE score > 4"""
+)
+def mad_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _typed_points(spark, sf_dir)
+    return _detected(points, detectors.mad(points))
+
+
+@query(
+    f"""{_P}, r AS (SELECT event_type, ts_ms, value AS x, i, value AS mean, 0.0::DOUBLE AS var, NULL::DOUBLE AS expected, NULL::DOUBLE AS score FROM p WHERE i = 1
+UNION ALL SELECT p.event_type, p.ts_ms, p.value, p.i, r.mean + 0.05 * (p.value - r.mean), 0.95 * (r.var + 0.05 * (p.value - r.mean) * (p.value - r.mean)), r.mean,
+CASE WHEN p.i > 30 AND r.var > 0 AND abs(p.value - r.mean) > 3.5 * sqrt(r.var) THEN abs(p.value - r.mean) / sqrt(r.var) END FROM r JOIN p ON p.event_type = r.event_type AND p.i = r.i + 1)
+{_FOUND} FROM r WHERE score IS NOT NULL"""
+)
+def ewma_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _typed_points(spark, sf_dir)
+    return _detected(points, detectors.detect(points, "ewma"))
+
+
+@query(
+    f"""{_P}, b AS (SELECT event_type, avg(value) AS mu, stddev_pop(value) AS sd FROM p WHERE i <= 30 GROUP BY event_type),
+r AS (SELECT p.event_type, p.ts_ms, p.value AS x, p.i, 0.0::DOUBLE AS hi, 0.0::DOUBLE AS lo, mu AS expected, NULL::DOUBLE AS score FROM p JOIN b ON p.event_type = b.event_type WHERE i = 30 AND sd > 0
+UNION ALL SELECT event_type, ts_ms, x, i, CASE WHEN c > 5 * sd THEN 0 ELSE h END, CASE WHEN c > 5 * sd THEN 0 ELSE l END, mu, CASE WHEN c > 5 * sd THEN c / (5 * sd) END FROM (
+  SELECT p.event_type, p.ts_ms, p.value AS x, p.i, mu, sd, greatest(r.hi + (p.value - mu) - 0.5 * sd, 0) AS h, greatest(r.lo + (mu - p.value) - 0.5 * sd, 0) AS l, greatest(h, l) AS c
+  FROM r JOIN p ON p.event_type = r.event_type AND p.i = r.i + 1 JOIN b ON b.event_type = p.event_type))
+{_FOUND} FROM r WHERE score IS NOT NULL"""
+)
+def cusum_changepoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _typed_points(spark, sf_dir)
+    return _detected(points, detectors.detect(points, "cusum"))
+
+
+@query()
+def holt_winters_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _typed_points(spark, sf_dir)
+    return _detected(points, detectors.detect(points, "holt_winters"))
+
+
+@query()
+def anomaly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the three detectors over the pooled purchases."""
+    return views.anomaly_report(D.store(spark, sf_dir), "event_value", "purchase", "event_type")["counts"]
+
+
+@query(
+    f"""{_M}, q AS (SELECT list_sort(list(value)) AS d, count(*) AS n FROM m WHERE event_type = 'purchase')
+SELECT d[CAST(round(0.5 * (n - 1)) AS BIGINT) + 1] AS p50, d[CAST(round(0.95 * (n - 1)) AS BIGINT) + 1] AS p95, d[CAST(round(0.99 * (n - 1)) AS BIGINT) + 1] AS p99 FROM q"""
+)
+def percentile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.percentile_report(D.store(spark, sf_dir), "event_value", "event_type", "purchase")
+
+
+@query(
+    f"""WITH {D.M_SQL}, {D.SPANS_SQL} SELECT (SELECT count(*) FROM (SELECT DISTINCT event_type, bucket FROM m)) + (SELECT count(DISTINCT event_type) FROM m) AS series,
+2 * (SELECT count(*) FROM m) AS samples, (SELECT count(*) FROM spans) AS spans, (SELECT count(DISTINCT trace_id) FROM spans) AS traces, (SELECT count(*) FROM events) AS logs,
+32 * (SELECT count(*) FROM m) AS raw_metric_bytes"""
+)
+def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.store_stats(D.store(spark, sf_dir)).select("series", "samples", "spans", "traces", "logs", "raw_metric_bytes")
+
+
+@query()
+def encoded_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples and bytes of each series in the codec."""
+    return codec.encoded_sizes(D.store(spark, sf_dir).metrics)
+
+
+@query(f"{_M} SELECT event_type, bucket, count(*) AS samples, round(sum(value), 6) AS total FROM m GROUP BY ALL")
+def codec_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gauge's samples encoded and decoded again."""
+    events = D.gauges(D.read(spark, sf_dir, "events").withColumn("_ns", D.ns_of("ts")))
+    labels = events.select("series_id", F.col("labels")["event_type"].alias("event_type"), F.col("labels")["bucket"].alias("bucket")).distinct()
+    back = codec.decoded(codec.encoded(events)).groupBy("series_id").agg(F.count(F.lit(1)).alias("samples"), F.round(F.sum("value"), 6).alias("total"))
+    return back.join(labels, "series_id").select("event_type", "bucket", "samples", "total")
+
+
+@query(
+    f"""{_M}, d AS (SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY event_type, bucket ORDER BY ts_ms, seq) AS delta FROM m),
+c AS (SELECT *, delta - coalesce(lag(delta) OVER (PARTITION BY event_type, bucket ORDER BY ts_ms, seq), 0) AS change FROM d)
+SELECT event_type, bucket, CAST(sum(CASE WHEN delta IS NULL THEN 64 WHEN change = 0 THEN 1 WHEN change BETWEEN -64 AND 63 THEN 9 WHEN change BETWEEN -256 AND 255 THEN 12
+WHEN change BETWEEN -2048 AND 2047 THEN 16 ELSE 68 END) AS BIGINT) AS bits FROM c GROUP BY event_type, bucket"""
+)
+def gorilla_ts_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = D.gauges(D.read(spark, sf_dir, "events").withColumn("_ns", D.ns_of("ts")))
+    return codec.time_sizes(events).select(F.col("labels")["event_type"].alias("event_type"), F.col("labels")["bucket"].alias("bucket"), "bits")
+
+
+@query(f"{_M} SELECT 'bucket=' || bucket || ',event_type=' || event_type AS labels, count(*) AS samples FROM m GROUP BY ALL")
+def label_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = D.gauges(D.read(spark, sf_dir, "events").withColumn("_ns", D.ns_of("ts")))
+    return events.groupBy(X.labels_text(F.col("labels")).alias("labels")).agg(F.count(F.lit(1)).alias("samples"))
+
+
+@query()
+def series_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published id of every series."""
+    series = D.store(spark, sf_dir).series
+    ids = series.withColumn("series_id", X.fnv_series_id(F.col("name"), F.col("labels")))
+    return ids.withColumn("labels", X.labels_text(F.col("labels"))).select("name", "labels", "series_id")
+
+
+@query(
+    f"""WITH {D.SPANS_SQL}, {D.LOGS_SQL}, {D.M_SQL} SELECT 'metric' AS signal, count(*) AS n, CAST(round(sum(value), 4) AS DOUBLE) AS total FROM m UNION ALL SELECT 'span', count(*), CAST(count(*) FILTER (status = 'Error') AS DOUBLE) FROM spans
+UNION ALL SELECT 'log', count(*), CAST(sum(severity_num) AS DOUBLE) FROM logs"""
+)
+def signal_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every signal written as an envelope line, parsed once and routed back to its table."""
+    store = D.store(spark, sf_dir)
+    lines = envelope.metric_lines(store.metrics.where("name = 'event_value'")).unionByName(envelope.span_lines(store.spans)).unionByName(envelope.log_lines(store.logs))
+    back = envelope.store(envelope.parsed(lines, seq="seq"))
+    count = lambda rows, name, total: rows.agg(F.lit(name).alias("signal"), F.count(F.lit(1)).alias("n"), total.cast("double").alias("total"))
+    metrics = count(back.metrics, "metric", F.round(F.sum("value"), 4))
+    return metrics.unionByName(count(back.spans, "span", F.count_if(F.col("status") == "Error"))).unionByName(count(back.logs, "log", F.sum("severity_num")))
+
+
+@query("SELECT * FROM (VALUES ('spans', 1200), ('metrics', 400), ('roots', 200), ('services', 6)) v(what, n)")
+def simulator_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of what two hundred simulated requests emit."""
+    s = simulator.store(spark, 200)
+    count = lambda rows, what: rows.agg(F.lit(what).alias("what"), F.count(F.lit(1)).cast("int").alias("n"))
+    roots, names = s.spans.where(lookups.is_root()), s.spans.select("service").distinct()
+    return count(s.spans, "spans").unionByName(count(s.metrics, "metrics")).unionByName(count(roots, "roots")).unionByName(count(names, "services"))
+
+
+@query("SELECT * FROM (VALUES ('api-gateway', 'auth'), ('api-gateway', 'catalog'), ('api-gateway', 'cart'), ('cart', 'payments'), ('payments', 'postgres')) v(caller, callee)")
+def service_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulator.topology(spark)
+
+
+@query("SELECT 'Aggregate sum by (status)\n  Func count_over_time\n    Select m{status=\"200\"} [10m]\n' AS plan")
+def explain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = language.explain(language.plan('sum by (status) (count_over_time(m{status="200"}[10m]))'))
+    return spark.createDataFrame([(text,)], "plan string")
