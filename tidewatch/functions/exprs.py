@@ -27,8 +27,9 @@ def ieee_div_float(a: float, b: float) -> float:
 
 
 def label_is(labels: Column, key: str, value: str) -> Column:
-    """An absent label never equals anything, not even the empty text."""
-    return F.coalesce(labels[key] == value, F.lit(False))
+    """An absent label never equals anything, not even the empty text. Null, not false, for an absent one: a filter drops
+    both, and a plain comparison is what Parquet can be given."""
+    return labels[key] == value
 
 
 def label_is_not(labels: Column, key: str, value: str) -> Column:

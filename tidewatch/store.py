@@ -36,8 +36,9 @@ class Store:
 
 
 def series_of(metrics: DataFrame) -> DataFrame:
-    """One row a series; the first kind in order of arrival."""
-    return metrics.groupBy("series_id").agg(F.first("name").alias("name"), F.min_by("kind", "seq").alias("kind"), F.first("labels").alias("labels"))
+    """One row a series; the first kind in order of arrival. Name and labels are group columns, so that filters on them
+    reach the scan."""
+    return metrics.groupBy("series_id", "name", "labels").agg(F.min_by("kind", "seq").alias("kind"))
 
 
 def with_series_id(points: DataFrame) -> DataFrame:
