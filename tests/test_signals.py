@@ -181,3 +181,17 @@ def test_stream_equals_batch(spark, shop, tmp_path):
 def test_waterfall_fits(spark, shop):
     bars = correlate.waterfall(shop.spans)
     assert bars.where("offset < 0 OR offset > 35 OR size < 1 OR offset + size > 36").count() == 0
+
+
+def test_display_forms(spark):
+    from tidewatch.functions import display
+
+    cases = [(None, "—", "—", "—"), (9.96, "10.0", "10", "996.0"), (3.21, "3.2", "3.2", "321.0"), (1234.0, "1234", "1.2K", "123400.0"), (999_999.0, "999999", "1M", None), (2.5e9, None, "2.5B", None), (1.0, "1.0", "1", "100.0")]
+    df = spark.createDataFrame([(k, x) for k, (x, *_) in enumerate(cases)], "k int, x double")
+    c = F.col("x")
+    got = df.orderBy("k").select(display.milliseconds(c), display.compact(c), display.percent(c)).collect()
+    for row, (_, *want) in zip(got, cases, strict=True):
+        assert all(w is None or w == g for g, w in zip(row, want, strict=True)), (row, want)
+    assert spark.range(1).select(display.waterfall_bar(F.lit(2), F.lit(3))).first()[0] == "  ███"
+    ids = spark.createDataFrame([("AB" * 16,), ("ab" * 15 + "a",), ("g" * 32,), (None,)], "t string").select(X.hex_id(F.col("t"), 16)).collect()
+    assert [r[0] for r in ids] == ["ab" * 16, None, None, None]

@@ -92,6 +92,15 @@ def is_hex(text: Column, size: int) -> Column:
     return F.coalesce(text.rlike(f"^[0-9a-fA-F]{{{2 * size}}}$"), F.lit(False))
 
 
+def hex_id(text: Column, size: int) -> Column:
+    """The id in lower case if it is one of ``size`` bytes, else null."""
+    return F.when(is_hex(text, size), F.lower(text))
+
+
+def hex_text(data: Column) -> Column:
+    return F.lower(F.hex(data))
+
+
 def short_id(text: Column) -> Column:
     return F.substring(text, 1, 8)
 

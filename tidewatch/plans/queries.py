@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import display
 from ..functions import exprs as X
 from ..operators import codec, correlate, detectors, lookups, views
 from ..sources import driver_tables as D
@@ -374,3 +375,26 @@ def service_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
 def explain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = language.explain(language.plan('sum by (status) (count_over_time(m{status="200"}[10m]))'))
     return spark.createDataFrame([(text,)], "plan string")
+
+
+@query(
+    f"""{_SPANS} SELECT substr(trace_id, 25, 8) AS id, CASE WHEN dur / 1e6 < 10 THEN printf('%.1f', round(dur / 1e6, 1)) ELSE printf('%.0f', round(dur / 1e6, 0)) END AS ms,
+printf('%.0f', round(dur / 1e6 / 1024, 0)) AS kb FROM r"""
+)
+def display_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root durations as texts."""
+    roots = D.store(spark, sf_dir).spans.where(lookups.is_root())
+    ms = X.duration_ms(F.col("start_ns"), F.col("end_ns"))
+    return roots.select(X.short_id(F.substring("trace_id", 25, 8)).alias("id"), display.milliseconds(ms).alias("ms"), display.kilobytes(ms).alias("kb"))
+
+
+@query(
+    """SELECT event_id, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 WHEN 'error' THEN 4 ELSE NULL END AS severity_num,
+lower(hex(event_type)) AS hex, event_id % 2 = 0 AS is_id FROM events"""
+)
+def severity_and_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity names in any case to numbers, hex texts, and ids by their length."""
+    names = F.create_map(*map(F.lit, ("view", "DEBUG", "click", "info", "purchase", "Warn", "error", "eRRor", "signup", "none")))
+    events = D.read(spark, sf_dir, "events")
+    text = F.when(F.col("event_id") % 2 == 0, F.lpad(F.hex("event_id"), 32, "0")).otherwise(F.lpad(F.hex("event_id"), 31, "0"))
+    return events.select("event_id", X.severity_number(names[F.col("event_type")]).alias("severity_num"), X.hex_text(F.encode("event_type", "UTF-8")).alias("hex"), X.hex_id(text, 16).isNotNull().alias("is_id"))
