@@ -4,7 +4,8 @@ Two models, toxic and ordinary, of words after the word before. A bigram backs o
 first ``STEM`` characters), a stem to a floor. Each step discounts counts by ``DISCOUNT`` and adds ``SHARED`` times the
 order below; the word within its stem has a lower order that both classes share, made from continuation counts (how many
 different words precede the word). What one class has seen once or twice thus says nothing, whatever the sizes of the
-classes; what neither has seen leaves the ratio at that of the order below. An expression counts once in a document.
+classes; what neither has seen leaves the ratio at that of the order below. An expression counts once in a document, and near copies
+count as one document.
 
 A text's evidence is the length-normalised log-likelihood ratio, of the whole text and of its best windows of ``WINDOWS``
 words (so that a long text does not dilute a short insult); a logistic curve, fitted on labelled rows that the counts
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,13 @@ def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def sketch(text: str | None) -> int:
+    """The smallest hash of the text's runs of five words: a MinHash of one component."""
+    found = words(text)
+    runs = (" ".join(found[k : k + 5]) for k in range(max(1, len(found) - 4)))
+    return min(xxhash.xxh3_64_intdigest(r.encode("utf-8", "surrogatepass")) for r in runs) >> 1
+
+
 @dataclass
 class Model:
     """ids: word -> index; stems: stem -> index after the words; llr: by index; pairs, pair_llr: seen bigrams."""
@@ -147,7 +156,11 @@ def fitted(docs: DataFrame, labels: DataFrame, teaches=None, rows: int = FIT_ROW
         return float(sample.toxic.mean()) if len(sample) else 0.0
     spark = docs.sparkSession
     held = spark.createDataFrame(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(held), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(5)))
+    found = docs.select("doc_id", "text").join(F.broadcast(held), "doc_id")
+    # Near copies mostly share their sketch: they teach once, and never on both sides of the split.
+    texts = durable(map_columns(found.select("toxic", "text"), lambda: lambda toxic, texts: [toxic, [sketch(t) for t in texts], texts], "toxic int, sketch long, text string"), "toxicity-sample")
+    sample_table = texts
+    texts = texts.withColumn("fold", F.pmod(F.xxhash64("sketch"), F.lit(5)))
 
     def pairs(toxic, texts):
         count: dict[tuple[int, str, str], int] = {}
@@ -165,8 +178,7 @@ def fitted(docs: DataFrame, labels: DataFrame, teaches=None, rows: int = FIT_ROW
                 count[k, w] = count.get((k, w), 0) + 1
         return [*(list(c) for c in zip(*count, strict=True)), list(count.values())] if count else [[], [], []]
 
-    # Equal texts teach once; the sample is bounded, and so are these counts.
-    teach = texts.where("fold > 0").groupBy("toxic", F.xxhash64("text").alias("same")).agg(F.first("text").alias("text")).select("toxic", "text")
+    teach = texts.where("fold > 0").groupBy("toxic", "sketch").agg(F.min("text").alias("text")).select("toxic", "text")
     by_class = [F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in (0, 1)]
     both = durable(map_columns(teach, lambda: pairs, "k int, v string, w string, n long").groupBy("v", "w").agg(*by_class), "toxicity-pairs")
     alone = map_columns(teach, lambda: singles, "k int, w string, n long").groupBy("w").agg(*by_class)
@@ -191,6 +203,7 @@ def fitted(docs: DataFrame, labels: DataFrame, teaches=None, rows: int = FIT_ROW
         return measure
 
     curve = map_columns(texts.where("fold = 0").select("toxic", "text"), make, "toxic int, x array<double>").toPandas()
+    drop_durable(sample_table)
     if curve.toxic.nunique() == 2:
         model.curve = logistic(np.stack(curve.x), curve.toxic.to_numpy().astype(float))
     return model
