@@ -18,6 +18,8 @@ count as links but name no component. An empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -119,7 +121,6 @@ class Graph:
             value = np.full((m, beam), -2.0)
             value[:, 0] = like[np.arange(m), at]
             live = np.arange(m)
-            extra: list[list[np.ndarray]] = [[] for _ in range(m)]
             while len(live):
                 held, worth = heap[live], value[live]
                 waiting = np.where((held >= 0) & ~done[live[:, None], held], worth, -3.0)
@@ -155,7 +156,6 @@ class Graph:
                     new = new[like[i, new] <= -2]
                     like[i, new] = self.vectors[new] @ q[i]
                     edge = new[like[i, new] >= COSINE]
-            del extra
             out += [np.flatnonzero(row >= COSINE - 1e-6) for row in like]
         return out
 
@@ -193,8 +193,6 @@ def united(n: int, pairs: list[tuple[int, np.ndarray]]) -> np.ndarray:
 def units(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """(id, label, unit, same) of every row; unit: the scaled vector as binary doubles and same its digest, null where the
     row links with nothing."""
-    import hashlib
-
     def scale(ids, labels, vectors):
         out, names = [], []
         for lab, v in zip(labels, vectors, strict=True):
