@@ -13,8 +13,8 @@ Candidates share one of ``BANDS`` bands of ``ROWS`` components: a pair at 0.8 is
 candidate whose signatures agree well enough (at least ``LIKELY``: 4 standard deviations under 0.8) is decided on the
 texts' exact multisets, unless its two texts are in one component already. So: equal word sequences collapse first; then
 each text is compared with its two likeliest of the bucket's first texts and neighbours, verified links give
-components; then every remaining likely pair across components is compared. No pairs within a component are listed and no
-bucket is capped.
+components; then every remaining likely pair across components is decided, bucket by bucket, in cells of bounded size. No
+pairs within a component are listed and no bucket is capped.
 
 Null texts and texts without words have no shingles, link with nothing and stay. Repeated rows are equal texts. The class
 id is the smallest doc_id of the class; an empty table gives no rows.
@@ -37,7 +37,9 @@ SIZE = BANDS * ROWS
 #: Agreement of signatures (of one byte a component, so 1/256 by chance) below which a candidate is not decided exactly.
 LIKELY = 0.65
 #: Members that are compared with each other in the first round, and about the most members of a bucket in one task.
-BLOCK, PART = 128, 2048
+BLOCK, PART = 128, 1024
+#: Texts that are signed together.
+SIGN_AT = 256
 #: Pairs that one task compares with one text.
 SPREAD = 512
 U = np.uint64
@@ -76,46 +78,52 @@ def shingles(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, counts
 
 
-def signature(keys: np.ndarray, counts: np.ndarray, size: int = SIZE) -> np.ndarray:
-    """The components' hashes (uint64): what was drawn for the earliest point of each."""
+def signatures(bags: list[tuple[np.ndarray, np.ndarray]], size: int = SIZE) -> np.ndarray:
+    """The components' hashes (uint64), a row a bag: what was drawn for the earliest point of each. No bag is empty."""
+    keys, counts = (np.concatenate([b[k] for b in bags]) for k in (0, 1))
+    owner = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
     top = np.ceil(np.log2(counts)).astype(np.int64)  # block 0 is [0, 1), block j >= 1 is [2^(j-1), 2^j)
-    seeds, low, width, weight = [keys], [np.zeros(len(keys))], [np.ones(len(keys))], [counts]
+    parts = [(keys, np.zeros(len(keys)), np.ones(len(keys)), counts, owner)]
     for j in range(1, int(top.max()) + 1):
-        own = top >= j
-        seeds.append(mixed(keys[own] + U(j * 0xD1342543DE82EF95 % 2**64)))
-        low.append(np.full(own.sum(), 2.0 ** (j - 1)))
-        width.append(low[-1])
-        weight.append(counts[own])
-    seed, low, width, weight = (np.concatenate(x) for x in (seeds, low, width, weight))
+        own = np.flatnonzero(top >= j)
+        low = np.full(len(own), 2.0 ** (j - 1))
+        parts.append((mixed(keys[own] + U(j * 0xD1342543DE82EF95 % 2**64)), low, low, counts[own], owner[own]))
+    seed, low, width, weight, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
     unit = lambda x: ((x >> U(11)).astype(np.float64) + 0.5) * 2.0**-53
-    limit = size * (np.log(size) + 6) / counts.sum()
-    while True:
-        best, mark = np.full(size, np.inf), np.zeros(size, U)
-        state, time, live = seed, np.zeros(len(seed)), np.arange(len(seed))
+    limit = size * (np.log(size) + 4) / np.bincount(owner, np.where(low == 0, weight, 0), len(bags))
+    out, open_bags = np.zeros((len(bags), size), U), np.ones(len(bags), bool)
+    while open_bags.any():
+        live = np.flatnonzero(open_bags[owner])
+        state, time, slots, times, draws = seed[live], np.zeros(len(live)), [], [], []
         while len(live):
             state = mixed(state + U(0x9E3779B97F4A7C15))
             time = time - np.log(unit(state)) / width[live]
-            keep = time <= limit
+            keep = time <= limit[owner[live]]
             state, time, live = state[keep], time[keep], live[keep]
             draw = mixed(state ^ U(0xA0761D6478BD642F))
             inside = low[live] + unit(mixed(draw + U(1))) * width[live] < weight[live]
-            at, when, what = (draw[inside] % U(size)).astype(np.int64), time[inside], mixed(draw[inside])
-            order = np.argsort(-when, kind="stable")
-            at, when, what = at[order], when[order], what[order]
-            sooner = when < best[at]
-            best_before = best.copy()
-            np.minimum.at(best, at[sooner], when[sooner])
-            won = (when == best[at]) & (when < best_before[at])
-            mark[at[won]] = what[won]
-        if np.isfinite(best).all():
-            return mark
-        limit *= 2
-
-
-def bands_of(mark: np.ndarray) -> np.ndarray:
-    out = np.arange(BANDS).astype(U) * U(0x9E3779B97F4A7C15)
-    for part in mark.reshape(BANDS, ROWS).T:
-        out = mixed(out * U(5) + part)
+            slots.append(owner[live[inside]] * size + (draw[inside] % U(size)).astype(np.int64))
+            times.append(time[inside])
+            draws.append(mixed(draw[inside]))
+        slots, times, draws = (np.concatenate(x) for x in (slots, times, draws))
+        best = np.full(len(bags) * size, np.inf)
+        np.minimum.at(best, slots, times)
+        won = times == best[slots]
+        out.reshape(-1)[slots[won]] = draws[won]
+        open_bags &= ~np.isfinite(best.reshape(len(bags), size)).all(1)
+        limit = np.where(open_bags, limit * 1.5, limit)
+    return out
+
+
+def signature(keys: np.ndarray, counts: np.ndarray, size: int = SIZE) -> np.ndarray:
+    return signatures([(keys, counts)], size)[0]
+
+
+def bands_of(marks: np.ndarray) -> np.ndarray:
+    """A row of BANDS hashes for each row of components."""
+    out = np.repeat((np.arange(BANDS).astype(U) * U(0x9E3779B97F4A7C15))[None], len(marks), 0)
+    for k in range(ROWS):
+        out = mixed(out * U(5) + marks.reshape(len(marks), BANDS, ROWS)[:, :, k])
     return out
 
 
@@ -135,23 +143,19 @@ def signed(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def make():
         memo = WordHash()
-        cache: dict[bytes, tuple] = {}
 
         def run(keys, texts):
-            same, bands, sigs = [], [], []
-            for t in texts:
-                h = word_hashes(t, memo)
-                if not len(h):
-                    same.append(None), bands.append(None), sigs.append(None)
-                    continue
-                digest = xxhash.xxh3_128_digest(h.tobytes())
-                if digest not in cache:
-                    if len(cache) > 2000:
-                        cache.clear()
-                    mark = signature(*shingles(h))
-                    cache[digest] = bands_of(mark).astype("<u8").tobytes(), (mark & U(255)).astype(np.uint8).tobytes()
-                same.append(digest), bands.append(cache[digest][0]), sigs.append(cache[digest][1])
-            return [keys, same, bands, sigs]
+            hashes = [word_hashes(t, memo) for t in texts]
+            same = [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in hashes]
+            first = {d: k for k, d in reversed(list(enumerate(same))) if d}
+            # Short texts take many steps of few points: texts of about one length are signed together.
+            names, made = sorted(first, key=lambda d: len(hashes[first[d]])), {}
+            for start in range(0, len(names), SIGN_AT):
+                own = names[start : start + SIGN_AT]
+                marks = signatures([shingles(hashes[first[d]]) for d in own])
+                for d, bands, mark in zip(own, bands_of(marks).astype("<u8"), (marks & U(255)).astype(np.uint8), strict=True):
+                    made[d] = bands.tobytes(), mark.tobytes()
+            return [keys, same, *([d and made[d][k] for d in same] for k in (0, 1))]
 
         return run
 
@@ -174,22 +178,22 @@ def _signatures(sigs) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, SIZE)
 
 
-def _stream_pairs(df: DataFrame, by: list[str], find, schema: str) -> DataFrame:
-    """find(rows of one group) -> dict of pairs, for groups of bounded size; pairs are passed on as they gather."""
+def _stream(df: DataFrame, by: list[str], rows_of, schema: str) -> DataFrame:
+    """rows_of(key, columns of one group) -> list of rows, for groups of bounded size; rows are passed on as they gather."""
     shape, columns = arrow_schema(schema), [c for c in df.columns if c not in by]
 
     def run(batches):
-        out: dict = {}
-        for _, rows in grouped_rows(batches, len(by)):
-            out.update(find(list(zip(*rows, strict=True))))
-            if len(out) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*((*k, v) for k, v in out.items()), strict=True)], schema=shape)
-                out = {}
+        out: list = []
+        for key, rows in grouped_rows(batches, len(by)):
+            out += rows_of(key, list(zip(*rows, strict=True)))
+            if len(out) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), shape, strict=True)], schema=shape)
+                out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*((*k, v) for k, v in out.items()), strict=True)], schema=shape)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), shape, strict=True)], schema=shape)
 
     small_batches(df.sparkSession)
-    return df.select(*by, *columns).repartition(shuffle_width(df.sparkSession), *by).sortWithinPartitions(*by, *columns[:1]).mapInArrow(run, schema)
+    return df.select(*by, *columns).repartition(shuffle_width(df.sparkSession), *by).sortWithinPartitions(*by, *columns[:2]).mapInArrow(run, schema)
 
 
 def _near(columns: list[tuple]) -> dict:
@@ -211,24 +215,87 @@ def near_pairs(members: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("id"), F.expr(f"n div {PART} + 1"))
     dealt = members.where("id <> first").select("band", part.alias("part"), "id", "sig")
     heads = members.where("id = first").select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"n div {PART}"))).alias("part"), "id", "sig")
-    found = _stream_pairs(dealt.unionByName(heads), ["band", "part"], _near, "a long, b long, likeness double").distinct()
+    pairs = lambda _, columns: [(*ab, v) for ab, v in _near(columns).items()]
+    found = _stream(dealt.unionByName(heads), ["band", "part"], pairs, "a long, b long, likeness double").distinct()
     best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("likeness"), "a"))
     return found.withColumn("rank", best).where("rank <= 2").select("a", "b")
 
 
-def _across(columns: list[tuple]) -> dict:
-    """Second round in one cell: every likely pair of side 0 with side 1, and within side 0 where the cell says so."""
+def _involved(columns: list[tuple]) -> list[int]:
+    """The members of a cell that have a likely partner of another component: side 0 with side 1, and within side 0 where
+    the cell says so."""
     sides, ids, comps, within = (np.array(columns[k], np.int64) for k in (0, 1, 3, 4))
-    sigs, pairs = _signatures(columns[2]), {}
+    sigs, hit = _signatures(columns[2]), np.zeros(len(ids), bool)
     for i in np.flatnonzero(sides == 0):
-        against = (comps != comps[i]) & ((sides == 1) | ((within[i] == 1) & (ids > ids[i])))
-        for j in np.flatnonzero(against)[(sigs[against] == sigs[i]).mean(1) >= LIKELY].tolist():
-            pairs[min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))] = 1.0
-    return pairs
+        against = np.flatnonzero((comps != comps[i]) & ((sides == 1) | (within[i] == 1)))
+        likely = against[(sigs[against] == sigs[i]).mean(1) >= LIKELY]
+        hit[likely] = True
+        hit[i] |= len(likely) > 0
+    return np.flatnonzero(hit).tolist()
+
+
+def _cell_links(rows: list[tuple], memo: WordHash) -> list[tuple[int, int]]:
+    """Links that join different components in a cell of (side, id, component, within, text).
+
+    Candidates come from prefixes: with tokens ordered by their frequency in the cell, two bags that share SIMILARITY of
+    their weight share a token among the rarest ones that make up the rest, so a text with many words of its own meets
+    nobody. Each candidate is decided exactly, unless an earlier link has joined its component already.
+    """
+    sides, ids, comps, within = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2, 3))
+    bags = [shingles(word_hashes(r[4], memo)) for r in rows]
+    weight = np.array([int(n.sum()) for _, n in bags])
+    owner = np.repeat(np.arange(len(bags)), [len(k) for k, _ in bags])
+    tokens, at, often = np.unique(np.concatenate([k for k, _ in bags]), return_inverse=True, return_counts=True)
+    del tokens
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    token, counts = rank[at], np.concatenate([n for _, n in bags])
+    order = np.lexsort((token, owner))
+    token, counts, owner = token[order], counts[order], owner[order]
+    before = np.cumsum(counts) - counts
+    before -= before[np.searchsorted(owner, owner)]
+    # A token counts as prefix while what follows it, itself included, could hold all of the needed overlap.
+    prefix = weight[owner] - before >= np.ceil(SIMILARITY * weight[owner] - 1e-9)
+    p_token, p_owner = token[prefix], owner[prefix]
+    by_owner = np.searchsorted(p_owner, np.arange(len(bags) + 1))
+    order = np.argsort(p_token, kind="stable")
+    i_token, i_owner = p_token[order], p_owner[order]
+    links = []
+    for x in np.flatnonzero(sides == 0):
+        own = p_token[by_owner[x] : by_owner[x + 1]]
+        low, high = np.searchsorted(i_token, own), np.searchsorted(i_token, own, side="right")
+        found = np.unique(np.concatenate([i_owner[a:b] for a, b in zip(low, high, strict=True)])) if len(own) else own
+        size_fits = np.minimum(weight[found], weight[x]) >= SIMILARITY * np.maximum(weight[found], weight[x]) - 1e-9
+        found = found[size_fits & ((sides[found] == 1) | ((within[x] == 1) & (found > x)))]
+        for y in found.tolist():
+            if comps[x] != comps[y] and similarity(bags[x], bags[y]) >= SIMILARITY:
+                links.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
+                comps[comps == comps[y]] = comps[x]
+    return links
+
+
+def far_links(members: DataFrame, comps: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Links (a, b) that join components: in every bucket all likely pairs of different components are decided. No pairs
+    are listed: members with a likely partner carry their text to their cell, and the cell gives the links that it needs."""
+    cells = far_cells(members, comps)
+    by = ["band", "i", "j", "others"]
+    pick = lambda key, columns: [(*key, *(columns[c][k] for c in (0, 1, 3, 4))) for k in _involved(columns)]
+    wanted = _stream(cells, by, pick, "band long, i long, j long, others boolean, side int, id long, component long, within int")
+    carried = wanted.join(bodies.select("id", "text"), "id").select(*by, "side", "id", "component", "within", "text")
+    shape = arrow_schema("a long, b long")
+
+    def run(batches):
+        memo = WordHash()
+        for _, rows in grouped_rows(batches, len(by)):
+            links = _cell_links(list(rows), memo)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], schema=shape)
+
+    return carried.repartition(shuffle_width(members.sparkSession), *by).sortWithinPartitions(*by, "side", "id").mapInArrow(run, "a long, b long")
 
 
-def far_pairs(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """(a, b), a < b: all likely pairs of different components in a bucket. The members of a bucket's largest component are
+def far_cells(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Cells (band, i, j, others) of (side, id, sig, component, within) for the second round. The members of a bucket's largest component are
     one side, all others the other; both are dealt in blocks of about PART, and every pair of blocks that holds pairs of
     different components is one cell. Members of the largest component are never compared with each other."""
     placed = members.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id")).select("band", "id", "sig", "component")
@@ -246,7 +313,7 @@ def far_pairs(members: DataFrame, comps: DataFrame) -> DataFrame:
     several = held.where("not is_main and go > 1").select("*", F.explode(upto(F.col("go"))).alias("k")).where("k <> block")
     with_others = several.select("band", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), F.lit(True).alias("others"), (F.col("block") > F.col("k")).cast("int").alias("side"), *columns, F.lit(0).alias("within"))
     cells = main.unionByName(with_main).unionByName(with_others)
-    return _stream_pairs(cells, ["band", "i", "j", "others"], _across, "a long, b long, likeness double").select("a", "b").distinct()
+    return cells.select("band", "i", "j", "others", "side", *columns, "within")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -284,7 +351,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """(key, same, component, first) of every row: the digest of its words, the smallest key of its class (its own where it
     has no words) and whether it is the class's first by (key, digest). Rows equal in key and words are both first. Keys are
     integers; a null key is no class id, its row stays alone unless its words are those of another row."""
-    rows = durable(signed(df.withColumn("_k", F.col(key).cast("long")).drop(key).withColumnRenamed("_k", key), key, text), "bags")
+    rows = durable(signed(df.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)), key, text), "bags")
     named = rows.where(F.col("same").isNotNull()).groupBy("same").agg(F.min(key).alias("least"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     # 63 bits of the digest name a text; the whole digest decides equality.
     texts = durable(named.withColumn("id", F.shiftrightunsigned(F.xxhash64("same"), 1)), "texts")
@@ -302,8 +369,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     )
     links = durable(verified(near, bodies), "links")
     comps = components(links).select(F.col("node").alias("id"), "component")
-    far = durable(far_pairs(members, comps).join(near, ["a", "b"], "left_anti"), "far")
-    links = links.unionByName(verified(far, bodies))
+    links = links.unionByName(durable(far_links(members, comps, bodies), "far"))
     comps = components(links).select(F.col("node").alias("id"), "component")
     classes = texts.select("id", "same", "least").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     lead = classes.groupBy("component").agg(F.min(F.struct("least", "same")).alias("lead"))
