@@ -13,7 +13,9 @@ Null and empty texts have the closing id only. Repeated rows are packed each. An
 
 from __future__ import annotations
 
+import os
 import re
+import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -26,8 +28,7 @@ from .common import durable, map_columns, numbered, table
 WINDOW, END_ID = 2048, 1
 ROUNDS = 60
 #: Distinct chunks that a worker remembers the ids of.
-REMEMBER = 400_000
-BLANKS = re.compile(r"[\t\n\r]")
+REMEMBER = 700_000
 
 
 def vocabulary_path() -> str:
@@ -36,32 +37,64 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _class(kind: str) -> str:
+    """The characters under PLAIN_END of a general category, for a character class."""
+    return "".join(re.escape(chr(c)) for c in range(PLAIN_END) if unicodedata.category(chr(c))[0] == kind)
+
+
+#: Texts of these characters only (no controls, no combining marks) are split here; others as a whole by the tokenizer.
+PLAIN_END = 0x250
+NOT_PLAIN = re.compile("[^\t\n\r\\x20-\\x7e\u00a1-\u024f]")
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^ \\t\\n\\r{_class('L')}{_class('N')}]+")
+ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
 class Chunks(dict):
-    """Ids (as little-endian 16-bit integers) of chunks between blanks. No token reaches across a blank, tab, carriage
-    return or line feed, so a text's ids are those of its chunks in order."""
+    """Ids (as little-endian 16-bit integers) of what the tokenizer encodes by itself: the matches of its splitting
+    pattern. In a plain text they are found here, after A-Z is lower-cased as the tokenizer would; any other text is one
+    chunk. New chunks are encoded together, one text of them all, and told apart by the tokens that end a word."""
 
     def __init__(self, path: str):
         super().__init__()
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        vocabulary = self.tokenizer.get_vocab()
+        if len(vocabulary) > 1 << 16:
             raise ValueError("the vocabulary has more than 65,536 ids")
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2")
+
+    def learn(self, pieces: list[str]) -> None:
+        ids = self.encode(" ".join(pieces))
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) == len(pieces):
+            data, at = ids.tobytes(), 0
+            for piece, stop in zip(pieces, (stops * 2).tolist(), strict=True):
+                self[piece] = data[at:stop]
+                at = stop
+        else:  # not a vocabulary whose words end in a marked token
+            for piece in pieces:
+                self[piece] = self.encode(piece).tobytes()
 
     def ids(self, text: str | None) -> np.ndarray:
-        chunks = BLANKS.sub(" ", text or "").split(" ")
-        new = [c for c in set(chunks) if c not in self]
+        if not text:
+            return np.zeros(0, "<u2")
+        if NOT_PLAIN.search(text):
+            return self.encode(text)
+        pieces = PIECES.findall(text.encode().translate(ASCII_LOWER).decode())
+        new = [p for p in set(pieces) if p not in self]
         if new:
             if len(self) + len(new) > REMEMBER:
                 self.clear()
-                new = list(set(chunks))
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self[c] = np.array(e.ids, "<u2").tobytes()
-        return np.frombuffer(b"".join(map(self.__getitem__, chunks)), "<u2")
+                new = list(set(pieces))
+            self.learn(new)
+        return np.frombuffer(b"".join(map(self.__getitem__, pieces)), "<u2")
 
 
 @lru_cache(maxsize=2)
