@@ -4,7 +4,8 @@ Components become integers, floor(64 x) with x as double, so scores are exact. C
 about ``BLOCK`` rows. A block sorts its rows once by every dimension. A query walks the lists of its nonzero dimensions from
 their best end, scores each newly seen row in full, and stops once its k-th score is above what any unseen row can reach
 (the sum over dimensions of the query's component times the value where the walk stands); with a score equal to the bound
-it goes on, since an unseen row with a smaller id may tie. Depths double, so a walk has a logarithmic number of steps. The
+it goes on, since an unseen row with a smaller id may tie. Depths double, so a walk has a logarithmic number of steps; a walk
+that has seen a share ``FULL`` of a block scores the rest of it and ends. The
 blocks' lists of k are merged by a windowed limit, one row a query, block and rank.
 
 Vectors that are null or empty or hold null or non-finite components, and rows with a null id, take no part; vectors meet
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, grouped_rows, shuffle_width, small_batches, table
 
 K, BLOCK = 20, 8192
+#: Once a walk has seen this share of a block, scoring the rest outright is cheaper than walking on.
+FULL = 0.2
 
 
 class Block:
@@ -48,9 +51,10 @@ class Block:
             fresh[self.order[down, done:depth].ravel()] = True
             fresh &= ~seen
             seen |= fresh
-            scores[fresh] = self.rows[fresh] @ query
-            if depth == n:
+            if depth == n or seen.sum() > FULL * n:
+                scores, seen[:] = self.rows @ query, True
                 break
+            scores[fresh] = self.rows[fresh] @ query
             reach = query[up] @ self.values[up, n - depth - 1] + query[down] @ self.values[down, depth]
             found = scores[seen & (self.ids != own)]
             if len(found) >= k and np.partition(found, len(found) - k)[len(found) - k] > reach:
