@@ -326,6 +326,24 @@ def test_graph_recall_and_large_groups():
     assert hits >= 0.99 * truth.sum()
 
 
+def test_graph_audit_sees_few_links_beside_a_large_group():
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    group = unit(unit(rng.normal(size=(1, 64))) + rng.normal(size=(1333, 64)) * 0.0125)
+    others = unit(rng.normal(size=(1333, 64)))
+    v = np.concatenate([group, others, unit(others + rng.normal(size=others.shape) * 0.0125)])
+    v = v[rng.permutation(len(v))]
+    graph = embedding_dedup.Graph(v)
+    queries = unit(v + rng.normal(size=v.shape) * 0.01)
+    for q, own in ((v, True), (queries, False)):
+        truth = q @ v.T >= embedding_dedup.COSINE
+        if own:
+            np.fill_diagonal(truth, False)
+        found = graph.search(q, graph.beam())
+        few = [t[f].sum() / t.sum() for t, f in zip(truth, found, strict=True) if 0 < t.sum() < 4]
+        assert len(few) > 2600 and np.mean(few) >= 0.99
+
+
 def bag(text):
     words = (text or "").lower().split()
     n = min(5, len(words))

@@ -3,10 +3,12 @@
 Vectors of one label that are equal after scaling to length one collapse to one representative with its count. The
 representatives of a label are dealt into shards of about ``SHARD``; each shard builds a layered graph (Malkov and
 Yashunin, 2018) and every representative of the label is a query to every shard: greedy descent through the upper layers,
-then a beam over the lowest one that widens while its worst member is still linked, so a large group is found whole. A
-sample of a shard's own queries (those with the smallest hashes, ``AUDIT`` of them) is audited against an exact scan; while
-their recall is under ``RECALL`` the beam doubles, until it holds the whole shard. Every reported link is decided by the
-cosine in double precision, so none lies below the threshold.
+then a beam over the lowest one that widens while its worst member is still linked, so a large group is found whole. The
+beam is audited against an exact scan on hashed samples of the shard's own vectors, of the label's queries from other
+shards and of vectors moved a little. Recall is a query's, without self-matches, and its mean has to be ``RECALL`` in every
+stratum of queries of one kind and about one number of links; until then the beam doubles, and one
+whose links would cover the shard gives way to the scan of all of it.
+Every reported link is decided by the cosine in double precision, so none lies below the threshold.
 
 A shard unites its own links first. A query then reports its number of linked vectors in the shard and one link to each
 component of the shard it touches: never all pairs. Those links are united by distributed connected components.
@@ -29,8 +31,8 @@ from .common import arrow_schema, durable, grouped_rows, map_columns, shuffle_wi
 from .components import components
 
 COSINE, SHARD = 0.98, 4096
-#: Links of a node in a layer, the first beam, and the audit.
-LINKS, BEAM, AUDIT, RECALL = 12, 24, 64, 0.99
+#: Links of a node in a layer, the first beam, and the audit: vectors drawn of a kind, rows of a stratum and their recall.
+LINKS, BEAM, POOL, AUDIT, RECALL = 12, 24, 1024, 64, 0.99
 #: Queries that walk together.
 TOGETHER = 1024
 
@@ -74,9 +76,10 @@ class Graph:
             spare = np.argsort(~keep, 1, kind="stable")[:, :LINKS]  # the pruned ones fill up what is free
             picked[own, : spare.shape[1]] = np.take_along_axis(best, spare, 1)
         out[:, :LINKS] = np.where(picked >= 0, picked, out[:, :LINKS])
-        source, target = np.repeat(np.arange(n), LINKS), picked.ravel()
-        source, target = source[target >= 0], target[target >= 0]
-        order = np.argsort(target, kind="stable")
+        # A node that many link to links back to those it is among the nearest of.
+        source, target, rank = np.repeat(np.arange(n), LINKS), picked.ravel(), np.tile(np.arange(LINKS), n)
+        source, target, rank = source[target >= 0], target[target >= 0], rank[target >= 0]
+        order = np.lexsort((rank, target))
         source, target = source[order], target[order]
         slot = np.arange(len(target)) - np.searchsorted(target, target)
         fits = slot < 2 * LINKS
@@ -159,16 +162,36 @@ class Graph:
             out += [np.flatnonzero(row >= COSINE - 1e-6) for row in like]
         return out
 
-    def beam(self) -> int:
-        """The narrowest beam, doubled from BEAM, whose recall of links passes the audit."""
-        sample = self.vectors[:: max(1, len(self.vectors) // AUDIT)]
-        truth = sample @ self.vectors.T >= COSINE
-        beam, want = BEAM, truth.sum()
+    def audited(self, others: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(queries, their exact links by node, stratum) of the audit: members without their self-matches, ``others`` from
+        outside the graph, and members moved to a cosine over COSINE, so that queries from outside are never missing. A
+        stratum is a kind of query with about one number of links; it has AUDIT rows at most, and all of them have links."""
+        draw = np.random.default_rng(len(self.vectors))
+        own = draw.permutation(len(self.vectors))[:POOL]
+        moved = self.vectors[own[:AUDIT]]
+        aside = draw.normal(size=moved.shape)
+        aside -= np.einsum("qd,qd->q", aside, moved)[:, None] * moved
+        cosine = draw.uniform(COSINE, 1, (len(moved), 1))
+        moved = cosine * moved + np.sqrt(1 - cosine**2) * aside / np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-30)
+        kinds = [self.vectors[own], moved] + ([others] if others is not None and len(others) else [])
+        queries = np.concatenate(kinds)
+        truth = queries @ self.vectors.T >= COSINE
+        truth[np.arange(len(own)), own] = False
+        links = truth.sum(1)
+        strata = 64 * np.repeat(np.arange(len(kinds)), [len(k) for k in kinds]) + np.log2(np.maximum(links, 1)).astype(int) // 2
+        picked = np.concatenate([np.flatnonzero((strata == s) & (links > 0))[:AUDIT] for s in np.unique(strata)])
+        return queries[picked], truth[picked], strata[picked]
+
+    def beam(self, others: np.ndarray | None = None) -> int:
+        """The narrowest beam, doubled from BEAM, whose mean recall of a query's links is RECALL in every stratum."""
+        queries, truth, strata = self.audited(others)
+        beam = BEAM
         while beam < len(self.vectors):
-            hit = sum(int(t[f].sum()) for t, f in zip(truth, self.search(sample, beam), strict=True))
-            if hit >= RECALL * want:
+            recall = np.array([t[f].sum() / t.sum() for t, f in zip(truth, self.search(queries, beam), strict=True)])
+            if all(recall[strata == s].mean() >= RECALL for s in np.unique(strata)):
                 return beam
-            beam *= 2
+            # A beam whose links would cover the shard scores as many vectors as the scan of all, which misses none.
+            beam = 2 * beam if 6 * LINKS * beam < len(self.vectors) else len(self.vectors)
         return beam
 
 
@@ -215,20 +238,29 @@ def near_embeddings(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     real = rows.where("same IS NOT NULL")
     # The node's name: 63 bits of label and digest; the whole digest decides what collapses.
     reps = durable(real.groupBy("label", "same").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.first("unit").alias("unit")).withColumn("node", F.shiftrightunsigned(F.xxhash64("label", "same"), 1)), "vectors")
-    shards = reps.groupBy("label", F.length("unit").alias("size")).agg(F.expr(f"count(1) div {SHARD} + 1").alias("shards"))
+    shards = reps.groupBy("label", F.length("unit").alias("size")).agg(F.expr(f"count(1) div {SHARD} + 1").alias("shards"), F.expr(f"count(1) div {POOL} + 1").alias("pools"))
     held = reps.withColumn("size", F.length("unit")).join(shards, ["label", "size"])
     members = held.select("label", "size", F.pmod("node", "shards").alias("shard"), F.lit(0).alias("query"), "node", "n", "unit")
-    queries = held.select("label", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), F.lit(1).alias("query"), "node", "n", "unit")
+    asked_of = held.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
+    # About POOL queries from other shards come first: they are audited before they are answered.
+    audited = (F.pmod("node", "shards") != F.col("shard")) & (F.pmod(F.xxhash64("node", "shard"), "pools") == 0)
+    queries = asked_of.select("label", "size", "shard", F.when(audited, 1).otherwise(2).alias("query"), "node", "n", "unit")
     schema = "node long, other long, links long"
     shape = arrow_schema(schema)
 
     def run(batches):
         for _, part in grouped_rows(batches, 3):
-            nodes, counts, data, graph, out, asked = [], [], [], None, [], []
+            nodes, counts, data, graph, beam, comp, out, asked = [], [], [], None, None, None, [], []
 
             def answer():
-                found = graph.search(np.frombuffer(b"".join(u for _, u in asked), np.float64).reshape(len(asked), -1), beam)
-                for (node, unit), hits in zip(asked, found, strict=True):
+                nonlocal beam, comp
+                if beam is None:
+                    outside = b"".join(u for q, _, u in asked if q == 1)
+                    beam = graph.beam(np.frombuffer(outside, np.float64).reshape(-1, graph.vectors.shape[1]))
+                    own = graph.search(graph.vectors, beam)
+                    comp = united(len(nodes), [(i, h[graph.vectors[h] @ graph.vectors[i] >= COSINE]) for i, h in enumerate(own)])
+                found = graph.search(np.frombuffer(b"".join(u for _, _, u in asked), np.float64).reshape(len(asked), -1), beam)
+                for (_, node, unit), hits in zip(asked, found, strict=True):
                     exact = graph.vectors[hits] @ np.frombuffer(unit, np.float64)
                     hits = hits[exact >= COSINE]
                     hits = hits[nodes[hits] != node]
@@ -250,11 +282,10 @@ def near_embeddings(df: DataFrame, key: str = "vec_id", vector: str = "embedding
                     order = np.argsort(np.array(nodes), kind="stable")
                     nodes, counts = np.array(nodes, np.int64)[order], np.array(counts, np.int64)[order]
                     graph = Graph(np.frombuffer(b"".join(data), np.float64).reshape(len(data), -1)[order])
-                    beam, data = graph.beam(), None
-                    own = graph.search(graph.vectors, beam)
-                    comp = united(len(nodes), [(i, h[graph.vectors[h] @ graph.vectors[i] >= COSINE]) for i, h in enumerate(own)])
-                asked.append((node, unit))
-                if len(asked) == TOGETHER:
+                    data = None
+                asked.append((query, node, unit))
+                # The audit waits for all of its queries.
+                if len(asked) >= TOGETHER and query > 1:
                     answer()
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=shape)
@@ -265,7 +296,7 @@ def near_embeddings(df: DataFrame, key: str = "vec_id", vector: str = "embedding
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=shape)
 
     small_batches(spark)
-    found = members.unionByName(queries).repartition(shuffle_width(spark), "label", "size", "shard").sortWithinPartitions("label", "size", "shard", "query").mapInArrow(run, schema)
+    found = members.unionByName(queries).repartition(shuffle_width(spark), "label", "size", "shard").sortWithinPartitions("label", "size", "shard", "query", "node").mapInArrow(run, schema)
     found = durable(found, "embedding-links")
     linked = found.where("node = other").groupBy("node").agg(F.sum("links").alias("links"))
     comps = components(found.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b"))).select("node", "component")
