@@ -400,6 +400,24 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert minhash_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_under_null_keys(spark):
+    rng = random.Random(4)
+    base = [[f"n{k}_{rng.randrange(10**6)}" for _ in range(120)] for k in range(4)]
+    edited = lambda words, *at: " ".join("edit" if k in at else w for k, w in enumerate(words))
+    # Row 3 alone bridges rows 2 and 4.
+    rows = [(1, edited(base[0])), (None, edited(base[0], 60))]
+    rows += [(3, edited(base[1], 20, 30)), (None, edited(base[1])), (4, edited(base[1], 70, 90))]
+    rows += [(None, edited(base[2])), (None, edited(base[2], 60)), (None, edited(base[3])), (None, None)]
+    rows += [(10 + k, edited(base[0], 5 + k)) for k in range(3)]
+    bags = [bag(t) for _, t in rows]
+    like = lambda a, b: sum((bags[a] & bags[b]).values()) / sum((bags[a] | bags[b]).values())
+    assert like(2, 3) >= 0.8 and like(3, 4) >= 0.8 > like(2, 4)
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(1, 1, True), (None, 1, False), (3, 3, True), (None, 3, False), (4, 3, False), (None, None, True), (None, None, False), (None, None, True), (None, None, True)]
+    want += [(10 + k, 1, False) for k in range(3)]
+    assert collections.Counter((r.doc_id, r.component, r["first"]) for r in got.collect()) == collections.Counter(want)
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, k) for k in range(2001, 2100)] + [(5, 5)]

@@ -350,7 +350,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, same, component, first) of every row: the digest of its words, the smallest key of its class (its own where it
     has no words) and whether it is the class's first by (key, digest). Rows equal in key and words are both first. Keys are
-    integers; a null key is no class id, its row stays alone unless its words are those of another row."""
+    integers; a null key is a class's first only where all its keys are null, and the class then has a null id."""
     rows = durable(signed(df.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)), key, text), "bags")
     named = rows.where(F.col("same").isNotNull()).groupBy("same").agg(F.min(key).alias("least"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     # 63 bits of the digest name a text; the whole digest decides equality.
@@ -360,19 +360,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     near = durable(near_pairs(members), "near")
     wanted = members.select("id").distinct().join(texts.select("id", "least", "same"), "id")
     source = df.select(F.col(key).cast("long").alias("least"), F.col(text).alias("text"))
-    bodies = durable(
-        map_columns(source.join(wanted.select("least").distinct(), "least", "left_semi"), _digests, "least long, same binary, text string")
-        .join(wanted, ["least", "same"])
-        .groupBy("id")
-        .agg(F.first("text").alias("text")),
-        "bodies",
-    )
+    keyed = map_columns(source.join(wanted.select("least").distinct(), "least", "left_semi"), _digests, "least long, same binary, text string")
+    # Texts that occur only under null keys are found by their words.
+    unkeyed = map_columns(source.where("least IS NULL"), _digests, "least long, same binary, text string")
+    found = keyed.join(wanted, ["least", "same"]).select("id", "text").unionByName(unkeyed.join(wanted.where("least IS NULL").select("id", "same"), "same").select("id", "text"))
+    bodies = durable(found.groupBy("id").agg(F.first("text").alias("text")), "bodies")
     links = durable(verified(near, bodies), "links")
     comps = components(links).select(F.col("node").alias("id"), "component")
     links = links.unionByName(durable(far_links(members, comps, bodies), "far"))
     comps = components(links).select(F.col("node").alias("id"), "component")
     classes = texts.select("id", "same", "least").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    lead = classes.groupBy("component").agg(F.min(F.struct("least", "same")).alias("lead"))
+    lead = classes.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("unkeyed"), "least", "same")).alias("lead"))
     classes = classes.join(lead, "component").select("same", F.col("lead.least").alias("_lead"), F.col("lead.same").alias("_lead_same"))
     out = rows.select(key, "same").join(classes, "same", "left")
     first = F.col("same").isNull() | (F.col(key).eqNullSafe(F.col("_lead")) & F.col("same").eqNullSafe(F.col("_lead_same")))
