@@ -8,7 +8,9 @@ The n-th piece of a length then finds its window by arithmetic alone, because pi
 a distributed way. Residual pieces are packed greedily, longest first, end to end, and cut where a window is full; the last
 window is cut into powers of two, which need no padding. So every id lies in exactly one piece and nothing is padded.
 
-Null and empty texts have the closing id only. Repeated rows are packed each. An empty table gives no rows.
+Ids are the tokenizer's own without the special tokens it would add around a text; the string of an added token inside a
+text is that token, as the tokenizer has it. Null and empty texts have the closing id only. Repeated rows are packed each.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,9 +44,10 @@ def _class(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(PLAIN_END) if unicodedata.category(chr(c))[0] == kind)
 
 
-#: Texts of these characters only (no controls, no combining marks) are split here; others as a whole by the tokenizer.
+#: Texts of these characters only (no controls, no combining marks, nothing that gets a mark when lower-cased) are split
+#: here; others as a whole by the tokenizer.
 PLAIN_END = 0x250
-NOT_PLAIN = re.compile("[^\t\n\r\\x20-\\x7e\u00a1-\u024f]")
+NOT_PLAIN = re.compile("[^\t\n\r\\x20-\\x7e\u00a1-\u012f\u0131-\u024f]")
 PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^ \\t\\n\\r{_class('L')}{_class('N')}]+")
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -60,7 +63,9 @@ class Chunks(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Strings that the tokenizer takes out of a text before it splits it, in either case.
+        added = sorted(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(added) or "(?!)", re.IGNORECASE)
         vocabulary = self.tokenizer.get_vocab()
         if len(vocabulary) > 1 << 16:
             raise ValueError("the vocabulary has more than 65,536 ids")
@@ -85,7 +90,7 @@ class Chunks(dict):
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u2")
-        if NOT_PLAIN.search(text):
+        if NOT_PLAIN.search(text) or self.added.search(text):
             return self.encode(text)
         pieces = PIECES.findall(text.encode().translate(ASCII_LOWER).decode())
         new = [p for p in set(pieces) if p not in self]
