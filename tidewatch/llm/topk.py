@@ -1,16 +1,21 @@
 """Exact top-k by inner product with Fagin's threshold algorithm.
 
 Components become integers, floor(64 x) with x as double, so scores are exact. Candidates are dealt evenly into blocks of
-about ``BLOCK`` rows. A block sorts its rows once by every dimension. A query walks the lists of its nonzero dimensions from
-their best end, scores each newly seen row in full, and stops once its k-th score is above what any unseen row can reach
-(the sum over dimensions of the query's component times the value where the walk stands); with a score equal to the bound
-it goes on, since an unseen row with a smaller id may tie. Depths double, so a walk has a logarithmic number of steps; a walk
-that has seen a share ``FULL`` of a block scores the rest of it and ends. The
-blocks' lists of k are merged by a windowed limit, one row a query, block and rank.
+about ``BLOCK`` rows. A block deals its rows to nearby pivots, in groups, so that a group's values lie close together; each
+group sorts its rows once by every dimension. A query takes the groups in the order of their bounds: the sum over
+dimensions of its component times the best value of the list, which no row of the group can exceed. In a group it walks the
+lists of its nonzero dimensions from their best end, scores each newly seen row in full, and stops once its k-th score, of
+all groups so far, is above what any unseen row can reach (the same sum with the values where the walk stands). Once the
+k-th score is above a group's bound before its first row, the walk of the block ends. With a score equal to the bound it goes
+on, since an unseen row with a smaller id may tie. Depths double, so a walk of a group has a logarithmic number of steps.
+Nothing but the bound ends a walk early. The blocks' lists of k are merged by a windowed limit, one row a query, block and
+rank.
 
 Vectors that are null or empty or hold null or non-finite components, and rows with a null id, take no part; vectors meet
-only vectors of their length. Ties go to the smaller id. A query's own row is every row with its id. Fewer than k
-candidates give fewer rows; an empty table gives none. Components have to be under 2^24 in magnitude.
+only vectors of their length. Ties go to the smaller id. A query's own row is every row with its id. Rows equal in id and
+vector are one query, but each is a candidate; rows equal in id alone are queries with k rows each. Fewer than k candidates
+give fewer rows; an empty table gives none. Components of any finite size are exact: where doubles could not hold a
+score, Python's integers do, and a score beyond a long counts as the end of the longs that it passed.
 """
 
 from __future__ import annotations
@@ -22,50 +27,115 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, grouped_rows, shuffle_width, small_batches, table
 
-K, BLOCK = 20, 8192
-#: Once a walk has seen this share of a block, scoring the rest outright is cheaper than walking on.
-FULL = 0.2
+K, BLOCK, GROUP = 20, 8192, 32
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
-class Block:
-    """Candidates with their lists by dimension."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.rows = ids[order], vectors[order].astype(np.float64)
-        self.order = np.argsort(self.rows, axis=0, kind="stable").T
-        self.values = np.take_along_axis(self.rows, self.order.T, axis=0).T
-
-    def best(self, own: int, query: np.ndarray, k: int = K) -> list[tuple[int, int]]:
-        """(id, score) of the k best rows but the query's own, ties to the smaller id."""
-        n, query = len(self.ids), query.astype(np.float64)
-        up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
-        seen, scores = np.zeros(n, bool), np.full(n, -np.inf)
-        done, depth = 0, max(1, k // 2)
+def whole_steps(vector: list[float]) -> list[int]:
+    """floor(64 x) of each component, exactly; a double of 2^53 or more is an integer already."""
+    return [int(x) * 64 if abs(x) >= 2.0**53 else int(np.floor(x * 64)) for x in vector]
+
+
+def exact_in_doubles(steps: np.ndarray) -> np.ndarray:
+    """Whether inner products among such rows keep to integers that doubles hold."""
+    return np.abs(steps).max(1) < np.sqrt(2.0**52 / steps.shape[1])
+
+
+class Group:
+    """Candidates with their lists by dimension, of doubles or, where these are not exact, of Python's integers."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray):
+        self.ids, self.rows = ids, rows
+        self.order = np.argsort(rows, axis=0, kind="stable").T
+        self.values = np.take_along_axis(rows, self.order.T, axis=0).T
+
+    def walk(self, query: np.ndarray, up: np.ndarray, down: np.ndarray, kth, better) -> int:
+        """Calls better(ids, scores), which returns the k-th score so far (None: fewer than k), for the rows as they are
+        seen; the number of rows seen when the bound, or the end of the lists, ended the walk."""
+        n = len(self.ids)
         if not len(up) + len(down):
-            depth, seen[:], scores[:] = n, True, 0.0
+            better(self.ids, np.zeros(n))
+            return n
+        seen, done, depth, count = np.zeros(n, bool), 0, 1, 0
         while True:
-            depth = min(depth, n)
             fresh = np.zeros(n, bool)
-            fresh[self.order[up, n - depth : n - done].ravel()] = True
-            fresh[self.order[down, done:depth].ravel()] = True
+            fresh[self.order[up, n - depth : n - done]] = True
+            fresh[self.order[down, done:depth]] = True
             fresh &= ~seen
             seen |= fresh
-            if depth == n or seen.sum() > FULL * n:
-                scores, seen[:] = self.rows @ query, True
-                break
-            scores[fresh] = self.rows[fresh] @ query
+            at = np.flatnonzero(fresh)
+            count += len(at)
+            if len(at):
+                kth = better(self.ids[at], self.rows[at] @ query)
+            if count == n:
+                return n
             reach = query[up] @ self.values[up, n - depth - 1] + query[down] @ self.values[down, depth]
-            found = scores[seen & (self.ids != own)]
-            if len(found) >= k and np.partition(found, len(found) - k)[len(found) - k] > reach:
+            if kth is not None and kth > reach:
+                return count
+            done, depth = depth, min(n, depth * 2)
+
+
+class Block:
+    """Candidates in groups of about GROUP near a pivot; rows that need Python's integers are groups of their own."""
+
+    def __init__(self, ids: list[int], vectors: list[list[float]]):
+        ids, steps = np.array(ids, np.int64), np.floor(np.array(vectors, np.float64) * 64)
+        narrow = exact_in_doubles(steps)
+        self.groups = [(Group(ids[own], steps[own])) for own in self.dealt(np.flatnonzero(narrow), steps)]
+        wide = np.flatnonzero(~narrow)
+        for start in range(0, len(wide), GROUP):
+            own = wide[start : start + GROUP]
+            self.groups.append(Group(ids[own], np.array([whole_steps(vectors[i]) for i in own], object)))
+        self.sized = [np.stack([g.values[:, k] for g in self.groups]) for k in (0, -1)]
+        self.rows = len(ids)
+
+    @staticmethod
+    def dealt(members: np.ndarray, steps: np.ndarray) -> list[np.ndarray]:
+        """Halved between two far members until a part has GROUP rows at most; equal rows are cut anywhere."""
+        parts, out = [members], []
+        while parts:
+            own = parts.pop()
+            if len(own) <= GROUP:
+                out += [own] if len(own) else []
+                continue
+            rows = steps[own]
+            a = rows[((rows - rows[0]) ** 2).sum(1).argmax()]
+            b = rows[((rows - a) ** 2).sum(1).argmax()]
+            side = np.argsort(rows @ (b - a), kind="stable")
+            cut = int(np.clip((rows @ (b - a) < (a + b) @ (b - a) / 2).sum(), GROUP // 4, len(own) - GROUP // 4))
+            parts += [own[side[:cut]], own[side[cut:]]]
+        return out
+
+    def best(self, own: int, vector: list[float], k: int = K) -> tuple[list[tuple[int, int]], int]:
+        """(id, score) of the k best rows but those of the query's id, ties to the smaller id; and how many rows were seen."""
+        query = np.floor(np.array(vector, np.float64) * 64)
+        exact = bool(exact_in_doubles(query[None])[0])
+        if not exact:
+            query = np.array(whole_steps(vector), object)
+        up, down = (np.flatnonzero(np.array(x, bool)) for x in (query > 0, query < 0))
+        ids, scores, kth, seen = np.zeros(0, np.int64), np.zeros(0, object if not exact else np.float64), None, 0
+
+        def better(fresh_ids, fresh_scores):
+            nonlocal ids, scores, kth
+            if kth is not None and fresh_scores.max() < kth:
+                return kth
+            mine = fresh_ids != own
+            ids, scores = np.concatenate([ids, fresh_ids[mine]]), np.concatenate([scores, fresh_scores[mine]])
+            if len(ids) > k:
+                at = np.lexsort((ids, -scores))[:k] if scores.dtype != object else np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k])
+                ids, scores = ids[at], scores[at]
+            kth = scores.min() if len(ids) == k else None
+            return kth
+
+        low, high = self.sized
+        bounds = high[:, up] @ query[up] + low[:, down] @ query[down]
+        for g in np.argsort(-bounds, kind="stable"):
+            if kth is not None and kth > bounds[g]:
                 break
-            done, depth = depth, depth * 2
-        at = np.flatnonzero(seen & (self.ids != own))
-        if len(at) > k:
-            least = np.partition(scores[at], len(at) - k)[len(at) - k]
-            at = at[scores[at] >= least]
-        at = at[np.lexsort((self.ids[at], -scores[at]))][:k]
-        return list(zip(self.ids[at].tolist(), scores[at].astype(np.int64).tolist(), strict=True))
+            group = self.groups[g]
+            seen += group.walk(query, up, down, kth, better)
+        found = [(i, min(MOST, max(LEAST, int(s)))) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)]
+        return sorted(found, key=lambda f: (-f[1], f[0])), seen
 
 
 def whole_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -75,30 +145,34 @@ def whole_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & (F.size("v") > 0) & ~bad)
 
 
-def top_k(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = K) -> DataFrame:
-    """(query_id, rank, id, score) of the k best of all rows for every row where ``is_query`` (a condition on id) holds."""
+def walks(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = K) -> DataFrame:
+    """(query_id, same, rank, id, score, seen, rows) of each block's k best for every query; same: a hash of its vector. Of a
+    walk's rows in the block it had seen so many when its bound ended it; rank 0 says so for walks without any result."""
     spark = df.sparkSession
-    rows = whole_vectors(df, key, vector).select("id", F.transform("v", lambda x: F.floor(x * 64).cast("int")).alias("v"))
+    rows = whole_vectors(df, key, vector)
     blocks = max(1, -(-rows.count() // BLOCK))
     spread = F.pmod(F.monotonically_increasing_id(), F.lit(blocks))
-    candidates = rows.select(F.size("v").alias("d"), spread.alias("block"), F.lit(0).alias("query"), "id", "v")
-    queries = rows.where(is_query).select(F.size("v").alias("d"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(1).alias("query"), "id", "v")
-    schema = "query_id long, id long, score long"
+    candidates = rows.select(F.size("v").alias("d"), spread.alias("block"), F.lit(0).alias("query"), "id", F.lit(0).cast("long").alias("same"), "v")
+    # Sums from 0.0 turn the negative zero into the other, which it equals.
+    asked = rows.where(is_query).select("id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v")).distinct()
+    queries = asked.select(F.size("v").alias("d"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(1).alias("query"), "id", F.xxhash64("v").alias("same"), "v")
+    schema = "query_id long, same long, rank long, id long, score long, seen long, rows long"
     shape = arrow_schema(schema)
 
     def run(batches):
         for _, part in grouped_rows(batches, 2):
             ids, vectors, block, out = [], [], None, []
-            for query, i, v in part:
+            for query, i, same, v in part:
                 if not query:
                     ids.append(i)
                     vectors.append(v)
                     continue
                 if block is None:
-                    block = Block(np.array(ids, np.int64), np.array(vectors, np.int32).reshape(len(ids), -1)) if ids else False
+                    block = Block(ids, vectors) if ids else False
                     ids = vectors = None
                 if block:
-                    out += [(i, *found) for found in block.best(i, np.array(v), k)]
+                    found, seen = block.best(i, v, k)
+                    out += [(i, same, n, *f, seen, block.rows) for n, f in enumerate(found, 1)] or [(i, same, 0, None, None, seen, block.rows)]
                     if len(out) > 50_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=shape)
                         out = []
@@ -106,11 +180,22 @@ def top_k(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=shape)
 
     small_batches(spark)
-    found = candidates.unionByName(queries).repartition(max(blocks, shuffle_width(spark)), "d", "block").sortWithinPartitions("d", "block", "query").mapInArrow(run, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return candidates.unionByName(queries).repartition(max(blocks, shuffle_width(spark)), "d", "block").sortWithinPartitions("d", "block", "query").mapInArrow(run, schema)
+
+
+def top_k(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = K) -> DataFrame:
+    """(query_id, rank, id, score) of the k best of all rows for every row where ``is_query`` (a condition on id) holds."""
+    found = walks(df, is_query, key, vector, k).where("rank > 0").select("query_id", "same", "id", "score")
+    rank = F.row_number().over(Window.partitionBy("query_id", "same").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def walk_report(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = K) -> DataFrame:
+    """One row: walks (a query and a block), those that the bound ended before all rows were seen, and the share of rows seen."""
+    each = walks(df, is_query, key, vector, k).where("rank <= 1")
+    return each.agg(F.count(F.lit(1)).alias("walks"), F.count_if(F.col("seen") < F.col("rows")).alias("ended"), (F.sum("seen") / F.sum("rows")).alias("seen"))
+
+
 def op7_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose id is divisible by 20 against all others."""
     return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0).withColumnRenamed("id", "vec_id")
@@ -120,15 +205,16 @@ OP7_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), a AS (
+  SELECT DISTINCT vec_id, q FROM v WHERE vec_id % 20 = 0
 ), s AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+  SELECT a.vec_id AS query_id, a.q AS query, b.vec_id AS vec_id,
          CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
-  WHERE a.vec_id % 20 = 0
+  FROM a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
 ), r AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id, query ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
