@@ -1,14 +1,19 @@
 """Near-duplicate embeddings through hierarchical navigable small-world graphs, one a shard.
 
 Vectors of one label that are equal after scaling to length one collapse to one representative with its count. The
-representatives of a label are dealt into shards of about ``SHARD``; each shard builds a layered graph (Malkov and
-Yashunin, 2018) and every representative of the label is a query to every shard: greedy descent through the upper layers,
-then a beam over the lowest one that widens while its worst member is still linked, so a large group is found whole. The
-beam is audited against an exact scan on hashed samples of the shard's own vectors, of the label's queries from other
-shards and of vectors moved a little. Recall is a query's, without self-matches, and its mean has to be ``RECALL`` in every
-stratum of queries of one kind and about one number of links; until then the beam doubles, and one
-whose links would cover the shard gives way to the scan of all of it.
-Every reported link is decided by the cosine in double precision, so none lies below the threshold.
+representatives of a label are dealt into shards of about ``SHARD``; each shard builds a layered graph by insertion (Malkov
+and Yashunin, 2018): a node descends greedily from the top to its own highest layer and from there on finds, with a beam
+of ``BUILD``, the neighbours it links to; a node whose links overflow keeps the nearest that no nearer link leads to. Nodes
+are inserted in rounds, at most as many at a time as the graph has, and see the other nodes of their round directly.
+
+Every representative of the label is a query to every shard: greedy descent through the upper layers, then a beam over
+the lowest one; once a beam is full of linked vectors, the links among these are followed to their end, so a large group
+is found whole. The beam is audited against an exact scan on hashed samples of the shard's own vectors, of the label's
+queries from other shards and of vectors moved a little. Recall is a query's, without self-matches, and its mean has to be
+``RECALL`` in every stratum of queries of one kind and about one number of links; until then the beam doubles. Only
+a beam that has grown to a share ``WHOLE`` of the shard and still fails the audit gives way to the scan of it.
+``recalls`` reports for each shard the beam, the recall that its audit measured, and whether it was scanned.
+Every reported link is decided by the cosine in double precision: a cosine of exactly the threshold links, none below does.
 
 A shard unites its own links first. A query then reports its number of linked vectors in the shard and one link to each
 component of the shard it touches: never all pairs. Those links are united by distributed connected components.
@@ -31,125 +36,146 @@ from .common import arrow_schema, durable, grouped_rows, map_columns, shuffle_wi
 from .components import components
 
 COSINE, SHARD = 0.98, 4096
-#: Links of a node in a layer, the first beam, and the audit: vectors drawn of a kind, rows of a stratum and their recall.
-LINKS, BEAM, POOL, AUDIT, RECALL = 12, 24, 1024, 64, 0.99
-#: Queries that walk together.
-TOGETHER = 1024
+#: Links of a node in an upper layer (twice as many in the lowest), the beam of insertion and the first beam of queries.
+LINKS, BUILD, BEAM = 12, 48, 24
+#: The audit: vectors drawn of a kind, rows of a stratum, their recall, and the share of a shard that a beam may grow to.
+POOL, AUDIT, RECALL, WHOLE = 1024, 64, 0.995, 0.25
+#: Queries that walk together, and nodes that are inserted together.
+TOGETHER, ROUND = 1024, 256
+
+
+def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row: a[i] with each of b[i]."""
+    return np.matmul(b, a[:, :, None])[:, :, 0]
 
 
 class Graph:
-    """A layered graph over unit vectors. Layers hold every LINKS-th node of the layer below, by hash order; a node links to
-    its nearest LINKS in the layer that no nearer link already leads to, and links go both ways."""
+    """A layered graph over unit vectors, in order of insertion (a hash order: random). The node i is in the layers up to the
+    number of times that LINKS divides i, the first node in all. links[layer][i]: its neighbours, padded with i itself."""
 
     def __init__(self, vectors: np.ndarray):
-        self.vectors, n = vectors, len(vectors)
-        self.layers: list[tuple[np.ndarray, np.ndarray]] = []
-        members = np.arange(n)
-        while True:
-            self.layers.append((members, self._linked(members)))
-            if len(members) <= LINKS:
-                break
-            members = members[::LINKS]
-
-    def _linked(self, members: np.ndarray) -> np.ndarray:
-        """Row i: the neighbours of members[i] as positions in members, padded with i itself."""
-        n, v = len(members), self.vectors[members]
-        near = min(2 * LINKS, n - 1)
-        out = np.repeat(np.arange(n)[:, None], 3 * LINKS, 1)
-        if near < 1:
-            return out
-        picked = np.full((n, LINKS), -1)
-        for start in range(0, n, TOGETHER):
-            own = slice(start, min(n, start + TOGETHER))
-            like = v[own] @ v.T
-            like[np.arange(len(like)), np.arange(own.start, own.stop)] = -2
-            best = np.argpartition(-like, near - 1, 1)[:, :near]
-            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(like, best, 1), 1, kind="stable"), 1)
-            score = np.take_along_axis(like, best, 1)
-            between = np.einsum("qid,qjd->qij", v[best], v[best])
-            keep, count = np.zeros(best.shape, bool), np.zeros(len(best), int)
-            for j in range(near):
-                # Kept unless a kept, nearer link is closer to it than the node is.
-                free = ~(keep[:, :j] & (between[:, j, :j] > score[:, j : j + 1])).any(1) & (count < LINKS)
-                keep[:, j] = free
-                count += free
-            spare = np.argsort(~keep, 1, kind="stable")[:, :LINKS]  # the pruned ones fill up what is free
-            picked[own, : spare.shape[1]] = np.take_along_axis(best, spare, 1)
-        out[:, :LINKS] = np.where(picked >= 0, picked, out[:, :LINKS])
-        # A node that many link to links back to those it is among the nearest of.
-        source, target, rank = np.repeat(np.arange(n), LINKS), picked.ravel(), np.tile(np.arange(LINKS), n)
-        source, target, rank = source[target >= 0], target[target >= 0], rank[target >= 0]
-        order = np.lexsort((rank, target))
+        self.vectors, n, i = vectors, len(vectors), np.arange(len(vectors))
+        self.level, step = np.zeros(n, np.int64), LINKS
+        while step < n:
+            self.level += i % step == 0
+            step *= LINKS
+        self.level[:1] = top = int(self.level.max(initial=0))
+        self.links = [np.repeat(i[:, None], LINKS * (2 if layer == 0 else 1), 1) for layer in range(top + 1)]
+        self.done, start = min(n, 1), 1
+        while start < n:
+            stop = min(n, start + min(ROUND, start))
+            self._insert(np.arange(start, stop))
+            self.done = start = stop
+
+    def _insert(self, new: np.ndarray) -> None:
+        at = np.zeros(len(new), np.int64)
+        for layer in range(len(self.links) - 1, -1, -1):
+            below = self.level[new] < layer
+            at[below] = self._descend(self.vectors[new[below]], at[below], layer)
+            own = np.flatnonzero(~below)
+            if not len(own):
+                continue
+            nodes = new[own]
+            found, like = self._beam(self.vectors[nodes], at[own], BUILD, layer)
+            at[own] = found[np.arange(len(own)), like.argmax(1)]
+            peers = self.vectors[nodes] @ self.vectors[nodes].T
+            np.fill_diagonal(peers, -3)
+            found, like = np.concatenate([found, np.broadcast_to(nodes, peers.shape)], 1), np.concatenate([like, peers], 1)
+            chosen = self._chosen(found, like, LINKS)
+            self.links[layer][nodes, :LINKS] = np.where(chosen >= 0, chosen, nodes[:, None])
+            self._link_back(np.repeat(nodes, LINKS)[chosen.ravel() >= 0], chosen.ravel()[chosen.ravel() >= 0], layer)
+
+    def _chosen(self, found: np.ndarray, like: np.ndarray, most: int) -> np.ndarray:
+        """For each row up to ``most`` of the found nodes (like < -2: none), nearest first: those to which no kept node is
+        nearer, then the nearest of the others; -1 where there are no more."""
+        width = min(found.shape[1], 2 * most)
+        if width < found.shape[1]:
+            top = np.argpartition(-like, width - 1, 1)[:, :width]
+            found, like = np.take_along_axis(found, top, 1), np.take_along_axis(like, top, 1)
+        order = np.argsort(-like, 1, kind="stable")
+        found, like = np.take_along_axis(found, order, 1), np.take_along_axis(like, order, 1)
+        v = self.vectors[found]
+        between, keep, count = np.matmul(v, v.transpose(0, 2, 1)), np.zeros(found.shape, bool), np.zeros(len(found), int)
+        for j in range(width):
+            free = (like[:, j] > -2) & ~(keep[:, :j] & (between[:, j, :j] > like[:, j : j + 1])).any(1) & (count < most)
+            keep[:, j] = free
+            count += free
+        rank = np.argsort(~keep, 1, kind="stable")[:, :most]
+        out = np.where(np.take_along_axis(like, rank, 1) > -2, np.take_along_axis(found, rank, 1), -1)
+        return out if out.shape[1] == most else np.pad(out, ((0, 0), (0, most - out.shape[1])), constant_values=-1)
+
+    def _link_back(self, source: np.ndarray, target: np.ndarray, layer: int) -> None:
+        """Adds target -> source; a target with too many links chooses among the old and the new ones."""
+        order = np.argsort(target, kind="stable")
         source, target = source[order], target[order]
-        slot = np.arange(len(target)) - np.searchsorted(target, target)
-        fits = slot < 2 * LINKS
-        out[target[fits], LINKS + slot[fits]] = source[fits]
-        return out
+        nodes, first = np.unique(target, return_index=True)
+        slot = np.arange(len(target)) - np.repeat(first, np.diff(np.r_[first, len(target)]))
+        fresh = np.full((len(nodes), int(slot.max(initial=0)) + 1), -1)
+        fresh[np.searchsorted(nodes, target), slot] = source
+        old = self.links[layer][nodes]
+        fresh[(fresh[:, :, None] == old[:, None, :]).any(2)] = -1
+        both = np.concatenate([np.where(old == nodes[:, None], -1, old), fresh], 1)
+        like = np.where(both >= 0, dots(self.vectors[nodes], self.vectors[both]), -3.0)
+        chosen = self._chosen(both, like, old.shape[1])
+        self.links[layer][nodes] = np.where(chosen >= 0, chosen, nodes[:, None])
 
-    def entry(self, queries: np.ndarray) -> np.ndarray:
-        """Greedy descent from the top layer to layer 1: a node for each query to enter the lowest layer at."""
-        members, _ = self.layers[-1]
-        at = members[(queries @ self.vectors[members].T).argmax(1)]
-        for members, links in reversed(self.layers[1:-1]):
-            place = np.searchsorted(members, at)
-            now = np.einsum("qd,qd->q", queries, self.vectors[at])
-            moving = np.arange(len(at))
-            while len(moving):
-                around = members[links[place[moving]]]
-                like = np.einsum("qd,qkd->qk", queries[moving], self.vectors[around])
-                best = like.argmax(1)
-                better = like[np.arange(len(moving)), best] > now[moving]
-                moving, best, around, like = moving[better], best[better], around[better], like[better]
-                at[moving] = around[np.arange(len(moving)), best]
-                now[moving] = like[np.arange(len(moving)), best]
-                place[moving] = np.searchsorted(members, at[moving])
+    def _descend(self, queries: np.ndarray, at: np.ndarray, layer: int) -> np.ndarray:
+        """Greedy steps in a layer until no neighbour is nearer."""
+        at, moving = at.copy(), np.arange(len(at))
+        now = np.einsum("qd,qd->q", queries, self.vectors[at])
+        while len(moving):
+            around = self.links[layer][at[moving]]
+            like = dots(queries[moving], self.vectors[around])
+            best = like.argmax(1)
+            row = np.arange(len(moving))
+            better = like[row, best] > now[moving]
+            at[moving[better]], now[moving[better]] = around[row, best][better], like[row, best][better]
+            moving = moving[better]
         return at
 
+    def _beam(self, q: np.ndarray, at: np.ndarray, beam: int, layer: int = 0, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the ``beam`` nearest nodes that a walk from ``at`` finds, and their cosines (-3: none); ``seen``
+        gets the cosines of all nodes that it visits."""
+        links, m = self.links[layer], len(q)
+        like = np.full((m, len(self.vectors)), -2.0, np.float32) if seen is None else seen
+        done, rows = np.zeros(like.shape, bool), np.arange(m)
+        like[rows, at] = np.einsum("qd,qd->q", q, self.vectors[at])
+        heap, value = np.repeat(at[:, None], beam, 1), np.full((m, beam), -3.0)
+        value[:, 0] = like[rows, at]
+        live, step = rows, min(4, beam)
+        while True:
+            held, worth = heap[live], value[live]
+            waiting = np.where((worth > -2) & ~done[live[:, None], held], worth, -3.0)
+            pick = np.argpartition(-waiting, step - 1, 1)[:, :step]
+            good = np.take_along_axis(waiting, pick, 1) > -3
+            on = good.any(1)
+            live, held, pick, good = live[on], held[on], pick[on], good[on]
+            if not len(live):
+                return heap, value
+            node = np.take_along_axis(held, pick, 1)
+            node = np.where(good, node, node[np.arange(len(pick)), good.argmax(1)][:, None])
+            done[live[:, None], node] = True
+            around = np.sort(links[node].reshape(len(live), -1), 1)
+            fresh = like[live[:, None], around] <= -2
+            fresh[:, 1:] &= around[:, 1:] != around[:, :-1]
+            row, col = np.nonzero(fresh)
+            who, what = live[row], around[row, col]
+            like[who, what] = np.einsum("kd,kd->k", q[who], self.vectors[what])
+            now = np.where(fresh, like[live[:, None], around], -3.0)
+            joint, worth = np.concatenate([heap[live], around], 1), np.concatenate([value[live], now], 1)
+            best = np.argpartition(-worth, beam - 1, 1)[:, :beam]
+            heap[live], value[live] = np.take_along_axis(joint, best, 1), np.take_along_axis(worth, best, 1)
+
     def search(self, queries: np.ndarray, beam: int) -> list[np.ndarray]:
         """For each query the nodes with a cosine of COSINE or more that its beam finds."""
-        links, n, out = self.layers[0][1], len(self.vectors), []
-        if beam >= n:
-            for start in range(0, len(queries), TOGETHER):
-                out += [np.flatnonzero(row) for row in queries[start : start + TOGETHER] @ self.vectors.T >= COSINE]
-            return out
+        links, n, out = self.links[0], len(self.vectors), []
         for start in range(0, len(queries), TOGETHER):
             q = queries[start : start + TOGETHER]
-            m = len(q)
-            like = np.full((m, n), -2.0, np.float32)  # cosines of the nodes that were visited
-            done = np.zeros((m, n), bool)
-            at = self.entry(q)
-            like[np.arange(m), at] = np.einsum("qd,qd->q", q, self.vectors[at])
-            heap = np.full((m, beam), -1)
-            heap[:, 0] = at
-            value = np.full((m, beam), -2.0)
-            value[:, 0] = like[np.arange(m), at]
-            live = np.arange(m)
-            while len(live):
-                held, worth = heap[live], value[live]
-                waiting = np.where((held >= 0) & ~done[live[:, None], held], worth, -3.0)
-                step = min(4, beam)
-                pick = np.argpartition(-waiting, step - 1, 1)[:, :step]
-                good = np.take_along_axis(waiting, pick, 1) > -3
-                on = good.any(1)
-                live, held, pick, good = live[on], held[on], pick[on], good[on]
-                if not len(live):
-                    break
-                node = np.where(good, np.take_along_axis(held, pick, 1), np.take_along_axis(held, pick, 1)[np.arange(len(pick)), good.argmax(1)][:, None])
-                done[live[:, None], node] = True
-                around = links[node].reshape(len(live), -1)
-                fresh = like[live[:, None], around] <= -2
-                row, col = np.nonzero(fresh)
-                who, what = live[row], around[row, col]
-                like[who, what] = np.einsum("kd,kd->k", q[who], self.vectors[what])
-                now = np.where(fresh, like[live[:, None], around], -2.0)
-                order = np.argsort(around, 1, kind="stable")
-                again = np.take_along_axis(around, order, 1)
-                twice = np.zeros_like(fresh)
-                np.put_along_axis(twice, order[:, 1:], again[:, 1:] == again[:, :-1], 1)
-                now[twice] = -2.0
-                joint, worth = np.concatenate([heap[live], around], 1), np.concatenate([value[live], now], 1)
-                top = np.argpartition(-worth, beam - 1, 1)[:, :beam]
-                heap[live], value[live] = np.take_along_axis(joint, top, 1), np.take_along_axis(worth, top, 1)
+            at = np.zeros(len(q), np.int64)
+            for layer in range(len(self.links) - 1, 0, -1):
+                at = self._descend(q, at, layer)
+            like = np.full((len(q), n), -2.0, np.float32)
+            _, value = self._beam(q, at, min(beam, n), 0, like)
             # A beam full of linked nodes may have more behind it: follow all links between linked nodes.
             for i in np.flatnonzero(value.min(1) >= COSINE):
                 found = like[i] >= COSINE
@@ -162,6 +188,11 @@ class Graph:
             out += [np.flatnonzero(row >= COSINE - 1e-6) for row in like]
         return out
 
+    def scan(self, queries: np.ndarray) -> list[np.ndarray]:
+        """What search() gives, by scoring every node."""
+        parts = (queries[k : k + TOGETHER] @ self.vectors.T for k in range(0, len(queries), TOGETHER))
+        return [np.flatnonzero(row >= COSINE - 1e-6) for part in parts for row in part]
+
     def audited(self, others: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(queries, their exact links by node, stratum) of the audit: members without their self-matches, ``others`` from
         outside the graph, and members moved to a cosine over COSINE, so that queries from outside are never missing. A
@@ -182,17 +213,20 @@ class Graph:
         picked = np.concatenate([np.flatnonzero((strata == s) & (links > 0))[:AUDIT] for s in np.unique(strata)])
         return queries[picked], truth[picked], strata[picked]
 
-    def beam(self, others: np.ndarray | None = None) -> int:
-        """The narrowest beam, doubled from BEAM, whose mean recall of a query's links is RECALL in every stratum."""
+    def beam(self, others: np.ndarray | None = None) -> tuple[int, float, int]:
+        """(beam, recall, audited queries): the narrowest beam, doubled from BEAM, whose mean recall of a query's links is
+        RECALL in every stratum, and the mean recall that it had; beam 0: none up to WHOLE of the shard, so scan."""
         queries, truth, strata = self.audited(others)
-        beam = BEAM
-        while beam < len(self.vectors):
-            recall = np.array([t[f].sum() / t.sum() for t, f in zip(truth, self.search(queries, beam), strict=True)])
-            if all(recall[strata == s].mean() >= RECALL for s in np.unique(strata)):
-                return beam
-            # A beam whose links would cover the shard scores as many vectors as the scan of all, which misses none.
-            beam = 2 * beam if 6 * LINKS * beam < len(self.vectors) else len(self.vectors)
-        return beam
+        beam, least = BEAM, 1.0
+        while True:
+            found = self.search(queries, beam)
+            recall = np.array([t[f].sum() / t.sum() for t, f in zip(truth, found, strict=True)])
+            least = min((recall[strata == s].mean() for s in np.unique(strata)), default=1.0)
+            if least >= RECALL:
+                return beam, float(recall.mean()) if len(recall) else 1.0, len(recall)
+            if beam > WHOLE * len(self.vectors):
+                return 0, 1.0, len(recall)
+            beam *= 2
 
 
 def united(n: int, pairs: list[tuple[int, np.ndarray]]) -> np.ndarray:
@@ -231,10 +265,14 @@ def units(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     return map_columns(df.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v")), lambda: scale, f"id long, label {dict(df.dtypes)[label]}, unit binary, same binary")
 
 
-def near_embeddings(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
-    """(key, n_links, component, kept) of every row."""
-    spark = df.sparkSession
-    rows = durable(units(df, key, vector, label), "units")
+FOUND = "kind int, node long, other long, links long, recall double"
+
+
+def shard_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(reps, found): the representatives (label, same, n, least, unit, node), and what the shards report, a FOUND row each:
+    kind 0, a link from a node to a component of a shard; kind 1, a node's linked vectors in a shard; kind 2, a shard's audit:
+    its vectors, its beam (0: scanned), its audited queries and their recall."""
+    spark = rows.sparkSession
     real = rows.where("same IS NOT NULL")
     # The node's name: 63 bits of label and digest; the whole digest decides what collapses.
     reps = durable(real.groupBy("label", "same").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.first("unit").alias("unit")).withColumn("node", F.shiftrightunsigned(F.xxhash64("label", "same"), 1)), "vectors")
@@ -245,31 +283,37 @@ def near_embeddings(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     # About POOL queries from other shards come first: they are audited before they are answered.
     audited = (F.pmod("node", "shards") != F.col("shard")) & (F.pmod(F.xxhash64("node", "shard"), "pools") == 0)
     queries = asked_of.select("label", "size", "shard", F.when(audited, 1).otherwise(2).alias("query"), "node", "n", "unit")
-    schema = "node long, other long, links long"
-    shape = arrow_schema(schema)
+    shape = arrow_schema(FOUND)
 
     def run(batches):
         for _, part in grouped_rows(batches, 3):
-            nodes, counts, data, graph, beam, comp, out, asked = [], [], [], None, None, None, [], []
+            nodes, counts, data, graph, find, comp, out, asked = [], [], [], None, None, None, [], []
 
             def answer():
-                nonlocal beam, comp
-                if beam is None:
+                nonlocal find, comp
+                if find is None:
                     outside = b"".join(u for q, _, u in asked if q == 1)
-                    beam = graph.beam(np.frombuffer(outside, np.float64).reshape(-1, graph.vectors.shape[1]))
-                    own = graph.search(graph.vectors, beam)
+                    beam, recall, drawn = graph.beam(np.frombuffer(outside, np.float64).reshape(-1, graph.vectors.shape[1]))
+                    out.append((2, len(nodes), beam, drawn, recall))
+                    find = (lambda q: graph.search(q, beam)) if beam else graph.scan
+                    own = find(graph.vectors)
                     comp = united(len(nodes), [(i, h[graph.vectors[h] @ graph.vectors[i] >= COSINE]) for i, h in enumerate(own)])
-                found = graph.search(np.frombuffer(b"".join(u for _, _, u in asked), np.float64).reshape(len(asked), -1), beam)
+                found = find(np.frombuffer(b"".join(u for _, _, u in asked), np.float64).reshape(len(asked), -1))
                 for (_, node, unit), hits in zip(asked, found, strict=True):
                     exact = graph.vectors[hits] @ np.frombuffer(unit, np.float64)
                     hits = hits[exact >= COSINE]
                     hits = hits[nodes[hits] != node]
                     if len(hits):
                         touched = np.unique(comp[hits])
-                        out.extend((node, int(nodes[c]), 0) for c in touched if nodes[c] != node)
-                        out.append((node, node, int(counts[hits].sum())))
+                        out.extend((0, node, int(nodes[c]), 0, None) for c in touched if nodes[c] != node)
+                        out.append((1, node, node, int(counts[hits].sum()), None))
                 asked.clear()
 
+            def emitted():
+                batch = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), shape, strict=True)], schema=shape)
+                out.clear()
+                return batch
+
             for query, node, n, unit in part:
                 if not query:
                     nodes.append(node)
@@ -288,18 +332,30 @@ def near_embeddings(df: DataFrame, key: str = "vec_id", vector: str = "embedding
                 if len(asked) >= TOGETHER and query > 1:
                     answer()
                     if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=shape)
-                        out = []
+                        yield emitted()
             if asked:
                 answer()
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=shape)
+                yield emitted()
 
     small_batches(spark)
-    found = members.unionByName(queries).repartition(shuffle_width(spark), "label", "size", "shard").sortWithinPartitions("label", "size", "shard", "query", "node").mapInArrow(run, schema)
-    found = durable(found, "embedding-links")
-    linked = found.where("node = other").groupBy("node").agg(F.sum("links").alias("links"))
-    comps = components(found.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b"))).select("node", "component")
+    found = members.unionByName(queries).repartition(shuffle_width(spark), "label", "size", "shard").sortWithinPartitions("label", "size", "shard", "query", "node").mapInArrow(run, FOUND)
+    return reps, durable(found, "embedding-links")
+
+
+def recalls(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+    """(vectors, beam, audited, recall) of every shard: its beam (0: scanned), the audited queries that have links, and the mean
+    share of these links that the beam found."""
+    _, found = shard_links(durable(units(df, key, vector, label), "units"))
+    return found.where("kind = 2").select(F.col("node").alias("vectors"), F.col("other").alias("beam"), F.col("links").alias("audited"), "recall")
+
+
+def near_embeddings(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+    """(key, n_links, component, kept) of every row."""
+    rows = durable(units(df, key, vector, label), "units")
+    reps, found = shard_links(rows)
+    linked = found.where("kind = 1").groupBy("node").agg(F.sum("links").alias("links"))
+    comps = components(found.where("kind = 0").select(F.col("node").alias("a"), F.col("other").alias("b"))).select("node", "component")
     known = reps.join(linked, "node", "left").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = known.groupBy("component").agg(F.min("least").alias("smallest"))
     known = known.join(smallest, "component").select("label", "same", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "smallest")
