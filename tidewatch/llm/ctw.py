@@ -6,11 +6,13 @@ node holds a Krichevsky-Trofimov estimate of its two counts, and every node of d
 the product of its children's mixtures, half and half, so all depths take part with their posterior weights.
 
 How it is spread out. Each input partition sorts its grams (DEPTH context bytes and the next one) and emits every
-distinct gram once, in blocks by the two nearest context bytes; so whole subtrees below depth 2 meet in one shard, which
-computes them alone. Only the top (256 x 255 nodes, a fixed size) is summed over shards and broadcast. Each shard then
-prices every gram that was asked for, and each input partition gets the prices of its own grams back. Words travel the
-same way for the base score. Counts cover all training texts; nothing is capped, and memory per task is bounded by the
-distinct grams of a shard or of one input partition.
+distinct gram once, in blocks by the three nearest context bytes; so whole subtrees below depth 3 meet in one shard, which
+computes them alone, and no common pair of bytes is one shard's. There are as many shards as input partitions, so what a task
+reads doesn't grow with the table. The nodes of depth 2 are summed over shards by key, and each shard gets those that it has
+grams under; depths 0 and 1 (256 x 255 nodes, a fixed size) are broadcast. Each shard then prices every gram that was
+asked for, in doubles, and each input partition gets the prices of its own grams back, one partition a task. Words travel
+the same way for the base score. Counts cover all training texts; nothing is capped, and memory per task is bounded by the
+distinct grams of a shard or of one input partition (whose size spark.sql.files.maxPartitionBytes sets).
 
 Null and empty texts have the end byte only. Repeated rows are scored alike and each counts. An empty table gives no
 rows. If no text is for training, every estimate is one half and the base score has N = 0.
@@ -27,10 +29,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, durable, grouped_rows, shuffle_width, small_batches, table
+from .common import arrow_schema, durable, grouped_rows, map_columns, shuffle_width, small_batches, table
 
-#: Context bytes.
-DEPTH = 5
+#: Context bytes, and how many of them, the nearest, name a shard.
+DEPTH, NEAR = 5, 3
 #: Positions that a task sorts at a time.
 SORT_AT = 4 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -80,7 +82,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def shard_of_key(keys: np.ndarray, shards: int) -> np.ndarray:
-    top = (keys >> U(8 * (DEPTH - 1))) * U(0x9E3779B97F4A7C15)
+    top = (keys >> U(8 * (DEPTH + 1 - NEAR))) * U(0x9E3779B97F4A7C15)
     return ((top >> U(40)) % U(shards)).astype(np.int64)
 
 
@@ -126,7 +128,7 @@ class Level:
         self.mix = np.log(0.5) + np.logaddexp(self.kt, below)
 
 
-def levels(keys: np.ndarray, counts: np.ndarray, lowest: int = 2) -> dict[tuple[int, int], Level]:
+def levels(keys: np.ndarray, counts: np.ndarray, lowest: int = NEAR) -> dict[tuple[int, int], Level]:
     """All nodes of depths ``lowest`` to DEPTH of a shard's grams, mixtures computed from the leaves up."""
     out = {}
     for depth in range(DEPTH, lowest - 1, -1):
@@ -142,11 +144,11 @@ def levels(keys: np.ndarray, counts: np.ndarray, lowest: int = 2) -> dict[tuple[
     return out
 
 
-def top_rows(tree: dict[tuple[int, int], Level]) -> dict[str, np.ndarray]:
-    """What a shard adds to the nodes of depth 1: counts, and the logs of its depth-2 mixtures."""
+def upper_rows(tree: dict[tuple[int, int], Level]) -> dict[str, np.ndarray]:
+    """What a shard adds to the nodes of depth 2: counts, and the logs of its depth-3 mixtures."""
     parts = []
     for bit in range(8):
-        low = tree[2, bit]
+        low = tree[NEAR, bit]
         code = (low.codes >> U(bit + 8)) * U(256) + (U(1 << bit) | (low.codes & U((1 << bit) - 1)))
         parts.append((code.astype(np.int64), low.n[:, 0], low.n[:, 1], low.mix))
     code, n0, n1, mix = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -154,28 +156,34 @@ def top_rows(tree: dict[tuple[int, int], Level]) -> dict[str, np.ndarray]:
     return {"node": node, "n0": np.bincount(at, n0).astype(np.int64), "n1": np.bincount(at, n1).astype(np.int64), "mix": np.bincount(at, mix)}
 
 
+def weighed(n0: np.ndarray, n1: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mixture, weight of the node's own estimate, estimated probability of a one) of nodes with counts and children's mixtures."""
+    kt = log_kt(n0, n1)
+    whole = np.log(0.5) + np.logaddexp(kt, below)
+    return whole, np.exp(np.log(0.5) + kt - whole), (n1 + 0.5) / (n0 + n1 + 1)
+
+
 def top_tables(node: np.ndarray, n0: np.ndarray, n1: np.ndarray, mix: np.ndarray) -> dict[str, np.ndarray]:
     """Per depth 0 and 1 the weight of the node's own estimate and the estimated probability of a one. 65,536 nodes."""
     c0, c1, below = np.zeros(65536, np.int64), np.zeros(65536, np.int64), np.zeros(65536)
     c0[node], c1[node], below[node] = n0, n1, mix
-    kt = log_kt(c0, c1)
-    whole = np.log(0.5) + np.logaddexp(kt, below)
-    out = {"w1": np.exp(np.log(0.5) + kt - whole), "p1": (c1 + 0.5) / (c0 + c1 + 1)}
+    whole, w1, p1 = weighed(c0, c1, below)
     c0, c1, below = (x.reshape(256, 256).sum(0) for x in (c0, c1, np.where(np.isin(np.arange(65536), node), whole, 0.0)))
-    kt = log_kt(c0, c1)
-    whole = np.log(0.5) + np.logaddexp(kt, below)
-    return out | {"w0": np.exp(np.log(0.5) + kt - whole), "p0": (c1 + 0.5) / (c0 + c1 + 1)}
+    _, w0, p0 = weighed(c0, c1, below)
+    return {"w1": w1, "p1": p1, "w0": w0, "p0": p0}
 
 
-def prices(keys: np.ndarray, counts: np.ndarray, top: dict[str, np.ndarray]) -> np.ndarray:
-    """log10 of the predictive probability of each gram's next byte after its context."""
+def prices(keys: np.ndarray, counts: np.ndarray, upper: tuple[np.ndarray, np.ndarray, np.ndarray], top: dict[str, np.ndarray]) -> np.ndarray:
+    """log10 of the predictive probability of each gram's next byte after its context. upper: the nodes of depth 2, sorted,
+    their weights and estimates."""
     tree, x, total = levels(keys, counts), keys & U(255), np.zeros(len(keys))
     near = (keys >> U(8 * DEPTH)).astype(np.int64)
+    two = (keys >> U(8 * (DEPTH - 1))).astype(np.int64)
     for bit in range(8):
         one = ((x >> U(7 - bit)) & U(1)).astype(bool)
         before = x >> U(8 - bit)
         p = None
-        for depth in range(DEPTH, 1, -1):
+        for depth in range(DEPTH, NEAR - 1, -1):
             own = tree[depth, bit]
             at = own.find((keys >> U(8 * (DEPTH + 1 - depth))) << U(bit) | before)
             n = own.n[at]
@@ -185,7 +193,9 @@ def prices(keys: np.ndarray, counts: np.ndarray, top: dict[str, np.ndarray]) ->
             else:
                 w = np.exp(np.log(0.5) + own.kt[at] - own.mix[at])
                 p = w * here + (1 - w) * p
-        heap = ((1 << bit) | before.astype(np.int64))
+        heap = (1 << bit) | before.astype(np.int64)
+        at = np.searchsorted(upper[0], two * 256 + heap)
+        p = upper[1][at] * upper[2][at] + (1 - upper[1][at]) * p
         p = top["w1"][near * 256 + heap] * top["p1"][near * 256 + heap] + (1 - top["w1"][near * 256 + heap]) * p
         p = top["w0"][heap] * top["p0"][heap] + (1 - top["w0"][heap]) * p
         total += np.log10(np.where(one, p, 1 - p))
@@ -254,8 +264,14 @@ def word_list(data: bytes) -> list[bytes]:
 MODEL = "words int, shard int, pid int, keys binary, n binary, top binary"
 
 
+def by_shard(df: DataFrame, shards: int) -> DataFrame:
+    """Each kind and shard in a task of its own, in the order of pid."""
+    return df.repartitionById(2 * shards, (F.col("words") * shards + F.col("shard")).cast("int")).sortWithinPartitions("words", "shard", "pid")
+
+
 def merged_shards(blocks: DataFrame, shards: int) -> DataFrame:
-    """One MODEL row (pid -1) a shard: its distinct keys with their counts over all partitions, and its part of the top."""
+    """One MODEL row (pid -1) a shard: its distinct keys with their counts over all partitions, and its part of depth 2 (of
+    words: how many are known, and how often)."""
     shape = arrow_schema(MODEL)
 
     def run(batches):
@@ -264,7 +280,7 @@ def merged_shards(blocks: DataFrame, shards: int) -> DataFrame:
                 table, waiting = (np.zeros(0, U), np.zeros(0, np.int64)), []
                 for _, keys, n in rows:
                     table = merged(table, (unpacked(keys), counts_in(n)))
-                top = top_rows(levels(*table))
+                top = upper_rows(levels(*table))
                 data = b"".join(np.ascontiguousarray(top[k]).tobytes() for k in ("node", "n0", "n1", "mix"))
                 yield _emit(shape, [(0, shard, -1, packed(table[0]), zlib.compress(table[1].astype("<i8").tobytes(), 1), data)])
             else:
@@ -275,57 +291,77 @@ def merged_shards(blocks: DataFrame, shards: int) -> DataFrame:
                 n = np.array(list(words.values()), "<i8")
                 yield _emit(shape, [(1, shard, -1, zlib.compress(b" ".join(words), 1), zlib.compress(n.tobytes(), 1), np.array([(n > 0).sum(), n.sum()], "<i8").tobytes())])
 
-    return blocks.repartition(shards * 2, "words", "shard").sortWithinPartitions("words", "shard").mapInArrow(run, MODEL)
+    return by_shard(blocks, shards).mapInArrow(run, MODEL)
 
 
-def summed_top(model: DataFrame) -> tuple[dict[str, np.ndarray], int, int]:
-    """The broadcast top (fixed size), V and N. Shards' parts are summed before they reach the driver."""
+PART = "words int, shard int, node long, n0 long, n1 long, mix double"
+NODE = "node long, n0 long, n1 long, whole double, w double, p double"
 
-    def run(batches):
-        node, sums, v, n = np.arange(65536), np.zeros((3, 65536)), 0, 0
+
+def upper_nodes(model: DataFrame) -> tuple[DataFrame, dict[str, np.ndarray], int, int]:
+    """BLOCK rows (pid -2) of the nodes of depth 2 for each shard that has grams under them; the tables of depths 0 and 1
+    (a fixed size); V and N."""
+
+    shape = arrow_schema(PART)
+
+    def parts(batches):
         for b in batches:
-            for kind, top in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for kind, shard, top in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if kind == 1:
-                    dv, dn = np.frombuffer(top, "<i8")
-                    v, n = v + int(dv), n + int(dn)
+                    columns = [np.array([-1]), *np.frombuffer(top, "<i8").reshape(2, 1), np.zeros(1)]
                 else:
-                    part = np.frombuffer(top, np.uint8).reshape(4, -1).copy()
-                    at = part[0].view(np.int64)
-                    sums[0, at] += part[1].view(np.int64)
-                    sums[1, at] += part[2].view(np.int64)
-                    sums[2, at] += part[3].view(np.float64)
-        used = node[(sums != 0).any(0)]
-        out = [pa.array(np.r_[used, -1]), *(pa.array(np.r_[s[used], x]) for s, x in zip(sums, (v, n, 0), strict=True))]
-        yield pa.RecordBatch.from_arrays(out, names=["node", "n0", "n1", "mix"])
-
-    parts = model.select("words", "top").mapInArrow(run, "node long, n0 double, n1 double, mix double")
-    rows = parts.groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("mix").alias("mix")).toPandas()
-    rest, own = rows[rows.node == -1], rows[rows.node >= 0]
-    top = top_tables(own.node.to_numpy(), own.n0.to_numpy().astype(np.int64), own.n1.to_numpy().astype(np.int64), own.mix.to_numpy())
-    return top, int(rest.n0.sum()), int(rest.n1.sum())
-
-
-def answered(blocks: DataFrame, model: DataFrame, top: dict[str, np.ndarray], shards: int) -> DataFrame:
+                    flat = np.frombuffer(top, np.uint8).reshape(4, -1).copy()
+                    columns = [flat[0].view(np.int64), flat[1].view(np.int64), flat[2].view(np.int64), flat[3].view(np.float64)]
+                n = len(columns[0])
+                for k in range(0, n, 1 << 16):
+                    own = [np.full(min(n, k + (1 << 16)) - k, x) for x in (kind, shard)] + [c[k : k + (1 << 16)] for c in columns]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(own, shape, strict=True)], schema=shape)
+
+    def weigh(node, n0, n1, mix):
+        n0, n1 = np.array(n0, np.int64), np.array(n1, np.int64)
+        return [node, n0, n1, *weighed(n0, n1, np.array(mix))]
+
+    def pack(shards, rows):
+        flat = [np.array([(r["node"], r["w"], r["p"]) for r in row]).T for row in rows]
+        return [[0] * len(shards), shards, [-2] * len(shards), [f[0].astype("<i8").tobytes() for f in flat], [f[1:].astype("<f8").tobytes() for f in flat]]
+
+    each = model.select("words", "shard", "top").mapInArrow(parts, PART)
+    summed = each.where("words = 0").groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("mix").alias("mix"))
+    two = durable(map_columns(summed, lambda: weigh, NODE), "ctw-nodes")
+    known = each.where("words = 1").agg(F.sum("n0"), F.sum("n1")).first()
+    one = F.shiftright("node", 16) * 256 + F.col("node").bitwiseAND(255)
+    rows = two.groupBy(one.alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("whole").alias("mix")).toPandas()
+    top = top_tables(rows.node.to_numpy(np.int64), rows.n0.to_numpy(np.int64), rows.n1.to_numpy(np.int64), rows.mix.to_numpy(float))
+    wanted = each.where("words = 0").select("shard", "node").join(two.select("node", "w", "p"), "node")
+    # At most 256 x 255 nodes a row.
+    wanted = wanted.groupBy("shard", F.shiftright("node", 16)).agg(F.collect_list(F.struct("node", "w", "p")).alias("rows"))
+    return map_columns(wanted.select("shard", "rows"), lambda: pack, BLOCK), top, int(known[0] or 0), int(known[1] or 0)
+
+
+def answered(blocks: DataFrame, model: DataFrame, upper: DataFrame, top: dict[str, np.ndarray], shards: int) -> DataFrame:
     """BLOCK rows for each input partition again, with the prices (grams, float64) or training counts (words) as n."""
     shape, held = arrow_schema(BLOCK), blocks.sparkSession.sparkContext.broadcast(top)
 
     def run(batches):
         for (kind, shard), rows in grouped_rows(batches, 2):
             known: dict[bytes, int] = {}
-            keys = price = None
+            keys, price, nodes, values = None, None, [], []
             for pid, data, n in rows:
-                if pid < 0 and kind == 0:
-                    keys = unpacked(data)
-                    price = prices(keys, counts_in(n), held.value)
+                if pid == -2:
+                    nodes.append(np.frombuffer(data, "<i8"))
+                    values.append(np.frombuffer(n, "<f8").reshape(2, -1))
+                elif pid < 0 and kind == 0:
+                    keys, flat, both = unpacked(data), np.concatenate(nodes), np.concatenate(values, 1)
+                    order = np.argsort(flat)
+                    price = prices(keys, counts_in(n), (flat[order], *both[:, order]), held.value)
                 elif pid < 0:
                     known = dict(zip(word_list(data), counts_in(n).tolist(), strict=True))
                 elif kind == 0:
-                    yield _emit(shape, [(0, shard, pid, data, zlib.compress(price[np.searchsorted(keys, unpacked(data))].astype("<f4").tobytes(), 1))])
+                    yield _emit(shape, [(0, shard, pid, data, price[np.searchsorted(keys, unpacked(data))].astype("<f8").tobytes())])
                 else:
                     yield _emit(shape, [(1, shard, pid, data, zlib.compress(np.array([known[w] for w in word_list(data)], "<i8").tobytes(), 1))])
 
-    both = model.drop("top").unionByName(blocks)
-    return both.repartition(shards * 2, "words", "shard").sortWithinPartitions("words", "shard", "pid").mapInArrow(run, BLOCK)
+    return by_shard(model.drop("top").unionByName(upper).unionByName(blocks), shards).mapInArrow(run, BLOCK)
 
 
 SCORE = "n_tokens long, n_known long, base double, score double"
@@ -335,12 +371,13 @@ def ctw_scores(df: DataFrame, key: str = "doc_id", text: str = "text", held_out=
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; rows where ``held_out`` holds
     do not teach the model. df has to give the same rows in the same partitions whenever it is read, as a table does."""
     spark = df.sparkSession
-    shards = shuffle_width(spark)
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), (held_out if held_out is not None else F.lit(False)).alias("held_out"))
+    partitions = max(1, rows._jdf.queryExecution().toRdd().getNumPartitions())
+    shards = max(shuffle_width(spark), partitions)
     blocks = durable(asked(rows, shards), "ctw-blocks")
     model = durable(merged_shards(blocks, shards), "ctw-model")
-    top, v, n_train = summed_top(model)
-    back = answered(blocks, model, top, shards)
+    upper, top, v, n_train = upper_nodes(model)
+    back = answered(blocks, model, upper, top, shards)
     kind = dict(df.dtypes)[key]
     schema = f"key {kind}, held_out boolean, {SCORE}"
     shape, floor = arrow_schema(schema), np.log10(max(1, n_train + v + 1))
@@ -357,7 +394,7 @@ def ctw_scores(df: DataFrame, key: str = "doc_id", text: str = "text", held_out=
                 if (table[0][at] != grams).any():
                     raise RuntimeError("the input gave other rows when it was read again")
                 starts = np.cumsum([0, *(len(s) for s in streams[:-1])])
-                scores = np.add.reduceat(table[1][at].astype(np.float64), starts)
+                scores = np.add.reduceat(table[1][at], starts)
                 out = []
                 for (k, held, own), score in zip(docs, scores.tolist(), strict=True):
                     c = np.array([words[w] for w in own] + [words[END]], np.float64)
@@ -368,7 +405,7 @@ def ctw_scores(df: DataFrame, key: str = "doc_id", text: str = "text", held_out=
             for words_kind, k, text, held, data, n in rows:
                 if words_kind == 0:
                     keys.append(unpacked(data))
-                    values.append(np.frombuffer(zlib.decompress(n), "<f4"))
+                    values.append(np.frombuffer(n, "<f8"))
                 elif words_kind == 1:
                     words.update(zip(word_list(data), counts_in(n).tolist(), strict=True))
                 else:
@@ -388,7 +425,7 @@ def ctw_scores(df: DataFrame, key: str = "doc_id", text: str = "text", held_out=
     small_batches(spark)
     texts = rows.select(F.spark_partition_id().alias("pid"), F.lit(2).alias("words"), "key", "text", "held_out", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("n"))
     blank = back.select("pid", "words", F.lit(None).cast(kind).alias("key"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("held_out"), "keys", "n")
-    out = blank.unionByName(texts).repartition(shards, "pid").sortWithinPartitions("pid", "words").mapInArrow(run, schema)
+    out = blank.unionByName(texts).repartitionById(partitions, "pid").sortWithinPartitions("pid", "words").mapInArrow(run, schema)
     return out.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
