@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import minhash_dedup, packing, secret_scan, toxicity
-from tidewatch.llm.common import durable, map_columns, table
+from tidewatch.llm.common import durable, hot_join, map_columns, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under one half. All labels teach; the model is fitted on the documents of this stage."""
+    """Documents that score under one half. All labels teach; the model is fitted on the documents of this stage. Null and
+    empty texts have no evidence and get the score of evidence zero; without labels of both classes nothing is dropped."""
     model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
     if not isinstance(model, toxicity.Model):
         return docs.select(*COLUMNS)
@@ -37,10 +38,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the first by doc_id; of rows equal in doc_id and words, one."""
-    found = minhash_dedup.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where(~F.col("first")).select("doc_id", "same").distinct()
-    worded = docs.select(*COLUMNS).withColumn("_d", F.col("doc_id"))
+    """One document of each class of near-duplicates: the first by doc_id; of rows equal in doc_id and words, one. Documents
+    without words, null texts among them, have no class and all stay."""
+    name = F.concat("same", F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "UTF-8"))
+    # Only what is not a single first row is told to the documents.
+    found = minhash_dedup.near_classes(docs.select("doc_id", "text")).where("same IS NOT NULL AND (NOT lead OR n > 1)")
+    found = durable(found.select(name.alias("name"), "n", "lead"), "pipeline-classes")
     schema = docs.select(*COLUMNS)._jdf.schema().toDDL()
 
     def make():
@@ -51,25 +54,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
         return run
 
-    marked = map_columns(worded.select(*COLUMNS), make, f"{schema}, same binary")
-    kept = marked.join(gone, marked["doc_id"].eqNullSafe(gone["doc_id"]) & (marked["same"] == gone["same"]), "left_anti")
-    # Rows without words have no digest and all stay; of the others, rows equal in id and words leave one.
-    several = found.where("same IS NOT NULL").groupBy("doc_id", "same").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return one_of_repeated(kept, several).select(*COLUMNS)
-
-
-def one_of_repeated(rows: DataFrame, several: DataFrame) -> DataFrame:
-    """rows, with one row only for each (doc_id, same) of ``several``; the other rows are not moved for it."""
-    several = several.select(F.col("doc_id").alias("_k"), F.col("same").alias("_s"))
-    on = rows["doc_id"].eqNullSafe(several["_k"]) & (rows["same"] == several["_s"])
-    flagged = rows.join(several, on, "left")
-    single, repeated = flagged.where("_s IS NULL"), flagged.where("_s IS NOT NULL")
-    one = repeated.groupBy("doc_id", "same").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
-    return single.select(*COLUMNS).unionByName(one.select("doc_id", "r.text", "r.lang", "r.source", "r.n_chars"))
+    marked = map_columns(docs.select(*COLUMNS), make, f"{schema}, same binary").withColumn("name", name)
+    spread = F.encode(F.monotonically_increasing_id().cast("string"), "UTF-8")
+    flagged = hot_join(marked, found, "name", "n", docs.count(), spread)
+    single, several = flagged.where("lead IS NULL"), flagged.where("lead")
+    one = several.groupBy("name").agg(F.min(F.struct(*COLUMNS)).alias("r"))
+    return single.select(*COLUMNS).unionByName(one.select("r.*"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with each secret found replaced by a mark of its kind and n_chars following the new text."""
+    """Every document, with each secret found replaced by a mark of its kind and n_chars following the new text. Texts without
+    secrets, null and empty ones among them, are as they were."""
 
     def mask(ids, texts, langs, sources, sizes):
         new = [secret_scan.masked(t) for t in texts]
@@ -79,7 +74,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in their sequences."""
+    """The pieces of all documents in their sequences; null and empty texts have their closing id."""
     return packing.packed_pieces(docs.select("doc_id", "text"), packing.vocabulary_path()).drop("ids")
 
 

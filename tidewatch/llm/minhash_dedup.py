@@ -13,11 +13,12 @@ Candidates share one of ``BANDS`` bands of ``ROWS`` components: a pair at 0.8 is
 candidate whose signatures agree well enough (at least ``LIKELY``: 4 standard deviations under 0.8) is decided on the
 texts' exact multisets, unless its two texts are in one component already. So: equal word sequences collapse first; then
 each text is compared with its two likeliest of the bucket's first texts and neighbours, verified links give
-components; then every remaining likely pair across components is decided, bucket by bucket, in cells of bounded size. No
-pairs within a component are listed and no bucket is capped.
+components; then every remaining likely pair across components is decided, bucket by bucket, in cells bounded in texts and in
+words. No pairs within a component are listed and no bucket is capped. A bucket of n different texts that stay unlinked
+sends each text's signature to about n / ``PART`` cells.
 
-Null texts and texts without words have no shingles, link with nothing and stay. Repeated rows are equal texts. The class
-id is the smallest doc_id of the class; an empty table gives no rows.
+Null texts and texts without words have no shingles, link with nothing and stay. Repeated rows are equal texts, of which one
+stays. The class id is the smallest doc_id of the class; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, durable, grouped_rows, map_columns, shuffle_width, small_batches, table
+from .common import arrow_schema, durable, grouped_rows, hot_join, map_columns, repeated, shuffle_width, small_batches, table
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -36,8 +37,10 @@ BANDS, ROWS = 26, 5
 SIZE = BANDS * ROWS
 #: Agreement of signatures (of one byte a component, so 1/256 by chance) below which a candidate is not decided exactly.
 LIKELY = 0.65
-#: Members that are compared with each other in the first round, and about the most members of a bucket in one task.
-BLOCK, PART = 128, 1024
+#: Members that are compared with each other in the first round, and about the most members of a bucket in a part of it.
+BLOCK, NEAR_PART = 128, 256
+#: About the most members, and words, of a side of a cell in the second round.
+PART, PART_WORDS = 1024, 1 << 20
 #: Texts that are signed together.
 SIGN_AT = 256
 #: Pairs that one task compares with one text.
@@ -139,7 +142,8 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signed(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, same, bands, sig) of each row: a 128-bit digest of the words (null: no words), the bands and one byte a component."""
+    """(key, same, words, bands, sig) of each row: a 128-bit digest of the words (null: no words), their number, the bands and
+    one byte a component."""
 
     def make():
         memo = WordHash()
@@ -155,23 +159,24 @@ def signed(df: DataFrame, key: str, text: str) -> DataFrame:
                 marks = signatures([shingles(hashes[first[d]]) for d in own])
                 for d, bands, mark in zip(own, bands_of(marks).astype("<u8"), (marks & U(255)).astype(np.uint8), strict=True):
                     made[d] = bands.tobytes(), mark.tobytes()
-            return [keys, same, *([d and made[d][k] for d in same] for k in (0, 1))]
+            return [keys, same, [len(h) for h in hashes], *([d and made[d][k] for d in same] for k in (0, 1))]
 
         return run
 
-    return map_columns(df.select(key, text), make, f"`{key}` {dict(df.dtypes)[key]}, same binary, bands binary, sig binary")
+    return map_columns(df.select(key, text), make, f"`{key}` {dict(df.dtypes)[key]}, same binary, words long, bands binary, sig binary")
 
 
 def buckets(texts: DataFrame) -> DataFrame:
-    """(band, id, sig, n, first) of every text in every bucket of n >= 2 members; first: the bucket's smallest id."""
+    """(band, id, sig, words, n, first) of every text in every bucket of n >= 2 members; first: the bucket's smallest id."""
 
     def split(ids, bands):
         flat = [np.frombuffer(b, "<u8").view("<i8") for b in bands]
         return [pa.array(np.concatenate(flat)) if flat else [], pa.array(np.repeat(np.array(ids, np.int64), BANDS))]
 
-    keyed = map_columns(texts.select("id", "bands"), lambda: split, "band long, id long")
-    several = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1")
-    return keyed.join(several, "band").join(texts.select("id", "sig"), "id").select("band", "id", "sig", "n", "first")
+    keyed = durable(map_columns(texts.select("id", "bands"), lambda: split, "band long, id long"), "bands")
+    several = durable(keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1").withColumn("weight", F.col("n")), "several")
+    joined = hot_join(keyed, several, "band", "weight", keyed.count(), F.xxhash64("id")).where("n IS NOT NULL")
+    return joined.join(texts.select("id", "sig", "words"), "id").select("band", "id", "sig", "words", "n", "first")
 
 
 def _signatures(sigs) -> np.ndarray:
@@ -211,10 +216,10 @@ def _near(columns: list[tuple]) -> dict:
 
 def near_pairs(members: DataFrame) -> DataFrame:
     """(a, b), a < b, at most two a for each b: enough to find most links; the second round compares all that is left. A
-    bucket is dealt in parts of about PART members, each with the bucket's first (the smallest id) added."""
-    part = F.pmod(F.xxhash64("id"), F.expr(f"n div {PART} + 1"))
+    bucket is dealt in parts of about NEAR_PART members, each with the bucket's first (the smallest id) added."""
+    part = F.pmod(F.xxhash64("id"), F.expr(f"n div {NEAR_PART} + 1"))
     dealt = members.where("id <> first").select("band", part.alias("part"), "id", "sig")
-    heads = members.where("id = first").select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"n div {PART}"))).alias("part"), "id", "sig")
+    heads = members.where("id = first").select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"n div {NEAR_PART}"))).alias("part"), "id", "sig")
     pairs = lambda _, columns: [(*ab, v) for ab, v in _near(columns).items()]
     found = _stream(dealt.unionByName(heads), ["band", "part"], pairs, "a long, b long, likeness double").distinct()
     best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("likeness"), "a"))
@@ -298,11 +303,12 @@ def far_cells(members: DataFrame, comps: DataFrame) -> DataFrame:
     """Cells (band, i, j, others) of (side, id, sig, component, within) for the second round. The members of a bucket's largest component are
     one side, all others the other; both are dealt in blocks of about PART, and every pair of blocks that holds pairs of
     different components is one cell. Members of the largest component are never compared with each other."""
-    placed = members.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id")).select("band", "id", "sig", "component")
-    sizes = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed_bands = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    mixed_bands = mixed_bands.select("band", F.col("top.component").alias("main"), F.expr(f"top.n div {PART} + 1").alias("gm"), F.expr(f"(n - top.n) div {PART} + 1").alias("go"))
-    held = placed.join(mixed_bands, "band").withColumn("is_main", F.col("component") == F.col("main"))
+    placed = members.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id")).select("band", "id", "sig", "words", "component")
+    sizes = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("w"))
+    mixed_bands = sizes.groupBy("band").agg(F.max(F.struct("n", "component", "w")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    parts = lambda n, w: F.expr(f"greatest({n} div {PART}, {w} div {PART_WORDS}) + 1")
+    mixed_bands = mixed_bands.select("band", F.col("top.component").alias("main"), parts("top.n", "top.w").alias("gm"), parts("(n - top.n)", "(w - top.w)").alias("go"), F.col("n").alias("weight"))
+    held = hot_join(placed, durable(mixed_bands, "mixed-bands"), "band", "weight", members.count(), F.xxhash64("id")).where("main IS NOT NULL").withColumn("is_main", F.col("component") == F.col("main"))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     block = F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("gm")).otherwise(F.col("go")))
     held = held.withColumn("block", block)
@@ -347,12 +353,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, same, component, first) of every row: the digest of its words, the smallest key of its class (its own where it
-    has no words) and whether it is the class's first by (key, digest). Rows equal in key and words are both first. Keys are
-    integers; a null key is a class's first only where all its keys are null, and the class then has a null id."""
+def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, same, n, component, lead) of every distinct key and digest of words: its number of rows, the smallest key of
+    its class (its own where it has no words) and whether it is the class's first by (key, digest). Keys are integers; a
+    null key is a class's first only where all its keys are null, and the class then has a null id."""
     rows = durable(signed(df.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)), key, text), "bags")
-    named = rows.where(F.col("same").isNotNull()).groupBy("same").agg(F.min(key).alias("least"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    named = rows.where(F.col("same").isNotNull()).groupBy("same").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("weight"), F.first("words").alias("words"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     # 63 bits of the digest name a text; the whole digest decides equality.
     texts = durable(named.withColumn("id", F.shiftrightunsigned(F.xxhash64("same"), 1)), "texts")
     members = durable(buckets(texts), "buckets")
@@ -369,12 +375,20 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     comps = components(links).select(F.col("node").alias("id"), "component")
     links = links.unionByName(durable(far_links(members, comps, bodies), "far"))
     comps = components(links).select(F.col("node").alias("id"), "component")
-    classes = texts.select("id", "same", "least").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    classes = texts.select("id", "same", "least", "weight").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     lead = classes.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("unkeyed"), "least", "same")).alias("lead"))
-    classes = classes.join(lead, "component").select("same", F.col("lead.least").alias("_lead"), F.col("lead.same").alias("_lead_same"))
-    out = rows.select(key, "same").join(classes, "same", "left")
+    classes = durable(classes.join(lead, "component").select("same", "weight", F.col("lead.least").alias("_lead"), F.col("lead.same").alias("_lead_same")), "classes")
+    counted = rows.groupBy(key, "same").agg(F.count(F.lit(1)).alias("n"))
+    out = hot_join(counted, classes, "same", "weight", rows.count(), F.encode(F.xxhash64(key).cast("string"), "UTF-8"))
     first = F.col("same").isNull() | (F.col(key).eqNullSafe(F.col("_lead")) & F.col("same").eqNullSafe(F.col("_lead_same")))
-    return out.select(key, "same", F.coalesce("_lead", key).alias("component"), first.alias("first"))
+    return out.select(key, "same", "n", F.when(F.col("same").isNull(), F.col(key)).otherwise(F.col("_lead")).alias("component"), first.alias("lead"))
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, same, component, first) of every row: the digest of its words, the smallest key of its class and whether it is the
+    one row of its class that stays; of rows equal in key and words one is. Rows without words all stay."""
+    each = repeated(near_classes(df, key, text), "n", "_i")
+    return each.select(key, "same", "component", (F.col("lead") & (F.col("same").isNull() | (F.col("_i") == 0))).alias("first"))
 
 
 def _digests():
