@@ -285,6 +285,23 @@ def test_url_rules(spark):
     assert url_rules.judged(pages.limit(0), rules).count() == 0 and set(url_rules.judged(pages, rules.limit(0)).toPandas().verdict) == {"allow"}
 
 
+def test_url_rules_with_nested_paths(spark):
+    rng = random.Random(6)
+    piece = lambda: rng.choice(["a", "b", "ab", "/", "/a", "\U0010ffff", "é"])
+    hosts = ["x", "a.x", "b.a.x", "y", "b.y"]
+    rules = {(rng.choice(hosts), "".join(piece() for _ in range(rng.randrange(4)))): rng.choice(["block", "allow"]) for _ in range(60)}
+    urls = [f"h://{rng.choice([*hosts, 'c.b.a.x', 'z', 'x.z'])}/{''.join(piece() for _ in range(rng.randrange(5)))}" for _ in range(400)]
+    pages = spark.createDataFrame([(None if k % 9 == 0 else k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    twice = [(h, p, a) for (h, p), a in rules.items()] + [(h, p, "allow") for h, p in rules] + [(None, "/", "block"), ("x", None, "block")]
+    got = url_rules.judged(pages, spark.createDataFrame(twice, "host string, path string, action string"))
+    want = collections.Counter()
+    for k, u in enumerate(urls):
+        host, path = re.match(r"h://([^/]*)(.*)", u, re.DOTALL).groups()
+        fits = [(len(h + p), len(h), h + p, a) for (h, p), a in rules.items() if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        want[(None if k % 9 == 0 else k, host, path, *(max(fits)[2:] if fits else (None, "allow")))] += 1
+    assert collections.Counter(map(tuple, got.collect())) == want
+
+
 def brute_links(ids, labels, vectors, least):
     root, n = {i: i for i in ids}, dict.fromkeys(ids, 0)
 
