@@ -1,15 +1,15 @@
 """Exact top-k by inner product with Fagin's threshold algorithm.
 
 Components become integers, floor(64 x) with x as double, so scores are exact. Candidates are dealt evenly into blocks of
-about ``BLOCK`` rows. A block deals its rows to nearby pivots, in groups, so that a group's values lie close together; each
-group sorts its rows once by every dimension. A query takes the groups in the order of their bounds: the sum over
-dimensions of its component times the best value of the list, which no row of the group can exceed. In a group it walks the
-lists of its nonzero dimensions from their best end, scores each newly seen row in full, and stops once its k-th score, of
-all groups so far, is above what any unseen row can reach (the same sum with the values where the walk stands). Once the
-k-th score is above a group's bound before its first row, the walk of the block ends. With a score equal to the bound it goes
-on, since an unseen row with a smaller id may tie. Depths double, so a walk of a group has a logarithmic number of steps.
-Nothing but the bound ends a walk early. The blocks' lists of k are merged by a windowed limit, one row a query, block and
-rank.
+about ``BLOCK`` rows. A block deals its rows to groups that lie close together; each group sorts its rows once by every
+dimension. A group's bound for a query is the sum over dimensions of its component times the best value of the list, which no
+row of the group can exceed. A query takes the groups with its best bounds first, then the others, and passes those whose
+bound is below its k-th score so far. In a group it walks the lists of its nonzero dimensions from their best end, scores
+the newly seen rows, and stops once its k-th score is above what any unseen row can reach (the same sum with the
+values where the walk stands). With a score equal to the bound it goes on, since an unseen row with a smaller id may tie.
+Depths double, so a walk of a group has a logarithmic number of steps. Queries walk a group together, each until its own
+bound ends it; a score that a query's walk has not come to is never used. Nothing but the bound ends a walk early. The
+blocks' lists of k are merged by a windowed limit, one row a query, block and rank.
 
 Vectors that are null or empty or hold null or non-finite components, and rows with a null id, take no part; vectors meet
 only vectors of their length. Ties go to the smaller id. A query's own row is every row with its id. Rows equal in id and
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, grouped_rows, shuffle_width, small_batches, table
 
 K, BLOCK, GROUP = 20, 8192, 32
+#: Groups that a query takes by its own order before all others, and queries that walk together.
+FIRST, TOGETHER = 4, 1024
 LEAST, MOST = -(2**63), 2**63 - 1
 
 
@@ -48,6 +50,8 @@ class Group:
         self.ids, self.rows = ids, rows
         self.order = np.argsort(rows, axis=0, kind="stable").T
         self.values = np.take_along_axis(rows, self.order.T, axis=0).T
+        self.rank = np.empty_like(self.order)
+        np.put_along_axis(self.rank, self.order, np.broadcast_to(np.arange(len(ids)), self.order.shape), 1)
 
     def walk(self, query: np.ndarray, up: np.ndarray, down: np.ndarray, kth, better) -> int:
         """Calls better(ids, scores), which returns the k-th score so far (None: fewer than k), for the rows as they are
@@ -87,7 +91,7 @@ class Block:
             own = wide[start : start + GROUP]
             self.groups.append(Group(ids[own], np.array([whole_steps(vectors[i]) for i in own], object)))
         self.sized = [np.stack([g.values[:, k] for g in self.groups]) for k in (0, -1)]
-        self.rows = len(ids)
+        self.rows, self.narrow = len(ids), not len(wide)
 
     @staticmethod
     def dealt(members: np.ndarray, steps: np.ndarray) -> list[np.ndarray]:
@@ -138,6 +142,64 @@ class Block:
         return sorted(found, key=lambda f: (-f[1], f[0])), seen
 
 
+class Walks:
+    """The walks of many queries through a block whose rows, as they themselves, are exact in doubles."""
+
+    def __init__(self, block: Block, own: np.ndarray, queries: np.ndarray, k: int):
+        self.own, self.queries, self.k, n = own, queries, k, len(own)
+        self.up, self.down = (queries > 0).astype(np.float32), (queries < 0).astype(np.float32)
+        self.positive, self.negative = np.maximum(queries, 0), np.minimum(queries, 0)
+        self.ids, self.scores = np.full((n, k), MOST), np.full((n, k), -np.inf)
+        self.seen, visited = np.zeros(n, np.int64), np.zeros((n, len(block.groups)), bool)
+        bounds = self.positive @ block.sized[1].T + self.negative @ block.sized[0].T
+        first = np.argsort(-bounds, 1, kind="stable")[:, :FIRST]
+        turns = [(g, np.flatnonzero(turn == g)) for turn in first.T for g in np.unique(turn)]
+        for g, rows in [*turns, *((g, np.arange(n)) for g in range(len(block.groups)))]:
+            rows = rows[~visited[rows, g] & (bounds[rows, g] >= self.scores[rows, -1])]
+            visited[rows, g] = True
+            self.walk(block.groups[g], rows)
+
+    def walk(self, group: Group, live: np.ndarray) -> None:
+        n, depth = len(group.ids), 1
+        seen = np.zeros((len(live), n), bool)
+        while len(live):
+            hit = self.up[live] @ (group.rank >= n - depth).astype(np.float32) + self.down[live] @ (group.rank < depth).astype(np.float32) > 0
+            hit |= (depth >= n) | ~self.queries[live].any(1)[:, None]
+            fresh = hit & ~seen
+            at = np.flatnonzero(fresh.any(0))
+            fresh = fresh[:, at]
+            self.seen[live] += fresh.sum(1)
+            scores = np.where(fresh & (group.ids[at] != self.own[live][:, None]), self.queries[live] @ group.rows[at].T, -np.inf)
+            better = np.flatnonzero((scores.max(1, initial=-np.inf) >= self.scores[live, -1]) & (scores > -np.inf).any(1))
+            if len(better):
+                rows = live[better]
+                both = np.concatenate([self.scores[rows], scores[better]], 1)
+                names = np.concatenate([self.ids[rows], np.broadcast_to(group.ids[at], (len(rows), len(at)))], 1)
+                best = np.lexsort((names, -both), axis=-1)[:, : self.k]
+                self.scores[rows], self.ids[rows] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
+            seen = hit
+            if depth >= n:
+                return
+            reach = self.positive[live] @ group.values[:, n - depth - 1] + self.negative[live] @ group.values[:, depth]
+            on = ~hit.all(1) & (self.scores[live, -1] <= reach)
+            live, seen, depth = live[on], seen[on], depth * 2
+            depth = min(depth, n)
+
+    def found(self) -> list[tuple[list[tuple[int, int]], int]]:
+        out = []
+        for ids, scores, seen in zip(self.ids.tolist(), self.scores.tolist(), self.seen.tolist(), strict=True):
+            out.append(([(i, int(s)) for i, s in zip(ids, scores, strict=True) if s > -np.inf], seen))
+        return out
+
+
+def answers(block: Block, asked: list[tuple[int, list[float]]], k: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """Block.best() of each (own id, vector), together where doubles are exact."""
+    steps = np.floor(np.array([v for _, v in asked], np.float64) * 64)
+    if not block.narrow or not exact_in_doubles(steps).all():
+        return [block.best(i, v, k) for i, v in asked]
+    return Walks(block, np.array([i for i, _ in asked], np.int64), steps, k).found()
+
+
 def whole_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(id, v array<double>) of the rows that take part."""
     v = F.col(vector).cast("array<double>")
@@ -161,7 +223,13 @@ def walks(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding
 
     def run(batches):
         for _, part in grouped_rows(batches, 2):
-            ids, vectors, block, out = [], [], None, []
+            ids, vectors, block, out, asked = [], [], None, [], []
+
+            def answer():
+                for (i, same, _), (found, seen) in zip(asked, answers(block, [(i, v) for i, _, v in asked], k), strict=True):
+                    out.extend([(i, same, n, *f, seen, block.rows) for n, f in enumerate(found, 1)] or [(i, same, 0, None, None, seen, block.rows)])
+                asked.clear()
+
             for query, i, same, v in part:
                 if not query:
                     ids.append(i)
@@ -171,11 +239,13 @@ def walks(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding
                     block = Block(ids, vectors) if ids else False
                     ids = vectors = None
                 if block:
-                    found, seen = block.best(i, v, k)
-                    out += [(i, same, n, *f, seen, block.rows) for n, f in enumerate(found, 1)] or [(i, same, 0, None, None, seen, block.rows)]
-                    if len(out) > 50_000:
+                    asked.append((i, same, v))
+                    if len(asked) >= TOGETHER:
+                        answer()
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=shape)
-                        out = []
+                        out.clear()
+            if asked:
+                answer()
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=shape)
 
