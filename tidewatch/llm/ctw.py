@@ -21,6 +21,7 @@ rows. If no text is for training, every estimate is one half and the base score
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -206,8 +207,12 @@ def prices(keys: np.ndarray, counts: np.ndarray, upper: tuple[np.ndarray, np.nda
 BLOCK = "words int, shard int, pid int, keys binary, n binary"
 
 
+def _columns(shape: pa.Schema, columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, shape, strict=True)], schema=shape)
+
+
 def _emit(shape: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), shape, strict=True)], schema=shape)
+    return _columns(shape, list(zip(*rows, strict=True)))
 
 
 def asked(df: DataFrame, shards: int) -> DataFrame:
@@ -215,7 +220,8 @@ def asked(df: DataFrame, shards: int) -> DataFrame:
     shape = arrow_schema(BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, grams, words = TaskContext.get().partitionId(), (np.zeros(0, U), np.zeros(0, np.int64)), {}
+        pid, grams = TaskContext.get().partitionId(), (np.zeros(0, U), np.zeros(0, np.int64))
+        words, asked_only = Counter(), set()
         waiting: dict[bool, list[bytes]] = {True: [], False: []}
 
         def sort_in(grams):
@@ -233,9 +239,8 @@ def asked(df: DataFrame, shards: int) -> DataFrame:
                 stream = b" ".join(found) + END
                 waiting[not held].append(stream)
                 size += len(stream)
-                for w in found:
-                    words[w] = words.get(w, 0) + (not held)
-                words[END] = words.get(END, 0) + (not held)
+                (asked_only if held else words).update(found)
+                (asked_only if held else words).update((END,))
                 if size > SORT_AT:
                     grams, size = sort_in(grams), 0
         grams = sort_in(grams)
@@ -243,6 +248,7 @@ def asked(df: DataFrame, shards: int) -> DataFrame:
             home = shard_of_key(grams[0], shards)
             for s in np.unique(home):
                 yield _emit(shape, [(0, int(s), pid, packed(grams[0][home == s]), zlib.compress(grams[1][home == s].astype("<i8").tobytes(), 1))])
+        words.update(dict.fromkeys(asked_only, 0))
         by: dict[int, list[bytes]] = {}
         for w in words:
             by.setdefault(zlib.crc32(w) % shards, []).append(w)
@@ -384,36 +390,41 @@ def ctw_scores(df: DataFrame, key: str = "doc_id", text: str = "text", held_out=
 
     def run(batches):
         for (_,), rows in grouped_rows(batches, 1):
-            keys, values, words, docs, size = [], [], {}, [], 0
+            codes, values, words, docs, size = [], [], {}, [], 0
             table = None
 
             def flush():
                 streams = [b" ".join(w) + END for _, _, w in docs]
                 grams = grams_of(streams)
-                at = np.minimum(np.searchsorted(table[0], grams), len(table[0]) - 1)
-                if (table[0][at] != grams).any():
+                # Sorted, so that the search runs through the table instead of jumping in it.
+                order = np.argsort(grams)
+                at = np.minimum(np.searchsorted(table[0], grams[order]), len(table[0]) - 1)
+                if (table[0][at] != grams[order]).any():
                     raise RuntimeError("the input gave other rows when it was read again")
+                price = np.empty(len(grams))
+                price[order] = table[1][at]
                 starts = np.cumsum([0, *(len(s) for s in streams[:-1])])
-                scores = np.add.reduceat(table[1][at], starts)
-                out = []
-                for (k, held, own), score in zip(docs, scores.tolist(), strict=True):
-                    c = np.array([words[w] for w in own] + [words[END]], np.float64)
-                    out.append((k, held, len(c), int((c > 0).sum()), float((np.log10(c + 1) - floor).sum()), score))
+                scores = np.add.reduceat(price, starts)
+                sizes = np.array([len(own) + 1 for _, _, own in docs])
+                c = np.fromiter(map(words.__getitem__, (w for _, _, own in docs for w in (*own, END))), np.int64)
+                first = np.cumsum(sizes) - sizes
+                known, base = np.add.reduceat((c > 0).astype(np.int64), first), np.add.reduceat(np.log10(c + 1) - floor, first)
+                keys, held, _ = zip(*docs, strict=True)
                 docs.clear()
-                return _emit(shape, out)
+                return _columns(shape, [keys, held, sizes, known, base, scores])
 
             for words_kind, k, text, held, data, n in rows:
                 if words_kind == 0:
-                    keys.append(unpacked(data))
+                    codes.append(unpacked(data))
                     values.append(np.frombuffer(n, "<f8"))
                 elif words_kind == 1:
                     words.update(zip(word_list(data), counts_in(n).tolist(), strict=True))
                 else:
                     if table is None:
-                        flat = np.concatenate(keys)
+                        flat = np.concatenate(codes)
                         order = np.argsort(flat)
                         table = flat[order], np.concatenate(values)[order]
-                        keys, values = [], []
+                        codes, values = [], []
                     docs.append((k, held, words_of(text)))
                     size += len(text or "") + 1
                     if size > SORT_AT:
