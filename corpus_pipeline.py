@@ -55,8 +55,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         return run
 
     marked = map_columns(docs.select(*COLUMNS), make, f"{schema}, same binary").withColumn("name", name)
-    spread = F.encode(F.monotonically_increasing_id().cast("string"), "UTF-8")
-    flagged = hot_join(marked, found, "name", "n", docs.count(), spread)
+    flagged = hot_join(marked, found.withColumn("weight", F.col("n")), "name", "weight", docs.count(), "left")
     single, several = flagged.where("lead IS NULL"), flagged.where("lead")
     one = several.groupBy("name").agg(F.min(F.struct(*COLUMNS)).alias("r"))
     return single.select(*COLUMNS).unionByName(one.select("r.*"))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe_codec, embedding_dedup, minhash_dedup, packing, secret_scan, sharding, topk, toxicity
+from tidewatch.llm import bpe_codec, common, embedding_dedup, minhash_dedup, packing, secret_scan, sharding, topk, toxicity
 
 
 def test_jump_hash_equals_the_scalar_algorithm(spark, tmp_path):
@@ -298,3 +298,17 @@ def test_signature_filter_misses_no_pair_at_the_threshold():
         marks = minhash_dedup.signatures(bags) & np.uint64(255)
         least = min(least, float((marks[0] == marks[1]).mean()))
     assert least >= minhash_dedup.LIKELY
+
+
+@pytest.mark.parametrize("kind", ["long", "binary"])
+def test_hot_keys_join_like_all_others(spark, kind, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 5)
+    key = F.col("k") if kind == "long" else F.encode(F.col("k").cast("string"), "UTF-8")
+    rows = [(k, v) for k, n in ((1, 60), (2, 30), (3, 5), (4, 1), (None, 4)) for v in range(n)]
+    left = spark.createDataFrame(rows, "k long, v long").withColumn("k", key)
+    right = spark.createDataFrame([(1, 60, "a"), (2, 30, "b"), (3, 5, None), (9, 1, "z")], "k long, weight long, x string").withColumn("k", key)
+    for how in ("inner", "left"):
+        got = common.hot_join(left, right, "k", "weight", len(rows), how)
+        want = left.join(right.drop("weight"), "k", how)
+        text = lambda df: collections.Counter((str(r.k), r.v, r.x) for r in df.collect())
+        assert text(got) == text(want)

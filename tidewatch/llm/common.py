@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -89,18 +89,17 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[..., list]], schema:
 HOT = 1000
 
 
-def hot_join(left: DataFrame, right: DataFrame, on: str, weight: str, total: int, spread: Column) -> DataFrame:
-    """left with the columns of right (one row a key; ``weight``: at least left's rows of the key, of ``total``), null where
-    there is none. Hot keys, fewer than HOT, are broadcast, so that no task gets all rows of one; the other rows meet by a
-    shuffle on the key, the hot ones among them by ``spread`` (of the key's type)."""
-    rest = [c for c in right.columns if c not in (on, weight)]
-    packed = right.select(F.col(on).alias("_k"), F.struct(*rest).alias("_r"), (F.col(weight) * HOT > total).alias("_is"))
-    hot = F.broadcast(packed.where("_is").select("_k", F.col("_r").alias("_hot")))
-    flagged = left.join(hot, left[on] == hot["_k"], "left").drop("_k")
-    cold = packed.where("NOT _is").select("_k", "_r", "_is")
-    place = F.when(F.col("_hot").isNotNull(), spread).otherwise(F.col(on))
-    joined = flagged.withColumn("_p", place).join(cold, (F.col("_p") == cold["_k"]) & (F.col("_hot").isNotNull() == cold["_is"]), "left")
-    return joined.select(*left.columns, *(F.coalesce(F.col(f"_hot.{c}"), F.col(f"_r.{c}")).alias(c) for c in rest))
+def hot_join(left: DataFrame, right: DataFrame, on: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right (a table with one row a key; ``weight``: at least left's rows of the key, of ``total``). No task
+    gets all rows of a hot key: those keys, fewer than HOT, reach the driver, and right's rows of them are broadcast. left
+    is read twice if there are any."""
+    is_hot = F.col(weight) * HOT > total
+    keys = [F.lit(r[0] if not isinstance(r[0], bytearray) else bytes(r[0])) for r in right.where(is_hot).select(on).collect()]
+    if not keys:
+        return left.join(right.drop(weight), on, how)
+    among = F.coalesce(F.col(on).isin(keys), F.lit(False))
+    hot = left.where(among).join(F.broadcast(right.where(is_hot).drop(weight)), on, how)
+    return hot.unionByName(left.where(~among).join(right.where(~is_hot).drop(weight), on, how))
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str], out: str, weight: str | None = None) -> DataFrame:

@@ -175,7 +175,7 @@ def buckets(texts: DataFrame) -> DataFrame:
 
     keyed = durable(map_columns(texts.select("id", "bands"), lambda: split, "band long, id long"), "bands")
     several = durable(keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1").withColumn("weight", F.col("n")), "several")
-    joined = hot_join(keyed, several, "band", "weight", keyed.count(), F.xxhash64("id")).where("n IS NOT NULL")
+    joined = hot_join(keyed, several, "band", "weight", keyed.count())
     return joined.join(texts.select("id", "sig", "words"), "id").select("band", "id", "sig", "words", "n", "first")
 
 
@@ -303,12 +303,13 @@ def far_cells(members: DataFrame, comps: DataFrame) -> DataFrame:
     """Cells (band, i, j, others) of (side, id, sig, component, within) for the second round. The members of a bucket's largest component are
     one side, all others the other; both are dealt in blocks of about PART, and every pair of blocks that holds pairs of
     different components is one cell. Members of the largest component are never compared with each other."""
-    placed = members.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id")).select("band", "id", "sig", "words", "component")
-    sizes = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("w"))
+    placed = lambda rows: rows.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = placed(members.select("band", "id", "words")).groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("w"))
     mixed_bands = sizes.groupBy("band").agg(F.max(F.struct("n", "component", "w")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     parts = lambda n, w: F.expr(f"greatest({n} div {PART}, {w} div {PART_WORDS}) + 1")
     mixed_bands = mixed_bands.select("band", F.col("top.component").alias("main"), parts("top.n", "top.w").alias("gm"), parts("(n - top.n)", "(w - top.w)").alias("go"), F.col("n").alias("weight"))
-    held = hot_join(placed, durable(mixed_bands, "mixed-bands"), "band", "weight", members.count(), F.xxhash64("id")).where("main IS NOT NULL").withColumn("is_main", F.col("component") == F.col("main"))
+    mixed = hot_join(members.select("band", "id", "sig"), durable(mixed_bands, "mixed-bands"), "band", "weight", members.count())
+    held = placed(mixed).withColumn("is_main", F.col("component") == F.col("main"))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     block = F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("gm")).otherwise(F.col("go")))
     held = held.withColumn("block", block)
@@ -379,7 +380,9 @@ def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     lead = classes.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("unkeyed"), "least", "same")).alias("lead"))
     classes = durable(classes.join(lead, "component").select("same", "weight", F.col("lead.least").alias("_lead"), F.col("lead.same").alias("_lead_same")), "classes")
     counted = rows.groupBy(key, "same").agg(F.count(F.lit(1)).alias("n"))
-    out = hot_join(counted, classes, "same", "weight", rows.count(), F.encode(F.xxhash64(key).cast("string"), "UTF-8"))
+    counted = durable(counted, "counted")
+    classed = hot_join(counted.where("same IS NOT NULL"), classes, "same", "weight", rows.count())
+    out = classed.unionByName(counted.where("same IS NULL"), allowMissingColumns=True)
     first = F.col("same").isNull() | (F.col(key).eqNullSafe(F.col("_lead")) & F.col("same").eqNullSafe(F.col("_lead_same")))
     return out.select(key, "same", "n", F.when(F.col("same").isNull(), F.col(key)).otherwise(F.col("_lead")).alias("component"), first.alias("lead"))
 
