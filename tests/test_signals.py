@@ -195,3 +195,26 @@ def test_display_forms(spark):
     assert spark.range(1).select(display.waterfall_bar(F.lit(2), F.lit(3))).first()[0] == "  ███"
     ids = spark.createDataFrame([("AB" * 16,), ("ab" * 15 + "a",), ("g" * 32,), (None,)], "t string").select(X.hex_id(F.col("t"), 16)).collect()
     assert [r[0] for r in ids] == ["ab" * 16, None, None, None]
+
+
+def test_no_body_kills_its_batch(spark):
+    """Bodies that don't decode give an error each; the spans of the others are there, in their order."""
+    span = lambda **more: {"traceId": "ab" * 16, "spanId": "cd" * 8, "name": "x", "startTimeUnixNano": "5", "endTimeUnixNano": "9", **more}
+    body = lambda *spans: json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": list(spans)}]}]}).encode()
+    bad = [body({"traceId": 5}), body(span(kind=[1])), b'{"resourceSpans": ' + b"[" * 100_000, body(span(name=7)), b"[]", body(span(startTimeUnixNano="x"))]
+    good = body(*(span(name=f"n{k}") for k in range(5)), span(startTimeUnixNano=str(2**64 - 1)), span(name="\ud800", attributes=[{"key": "a", "value": {"doubleValue": "NaN"}}]))
+    rows = [(k, "application/json", b) for k, b in enumerate([*bad, good])]
+    bodies = spark.createDataFrame(rows, "body_id long, content_type string, body binary")
+    errors = otlp.decoded(bodies).where("error IS NOT NULL").select("body_id", "error").collect()
+    assert sorted(r.body_id for r in errors) == list(range(len(bad))) and all(r.error.startswith("json: ") for r in errors)
+    found = otlp.spans(bodies).orderBy("seq").collect()
+    assert [r.name for r in found][:5] == [f"n{k}" for k in range(5)] and len(found) == 7 and found[5].start_ns == 2**63 - 1
+    assert [r.seq for r in found] == [len(bad) * (1 << 20) + k for k in range(7)]
+
+
+def test_arrival_keeps_micro_batches_apart(spark):
+    rows = spark.createDataFrame([(0,), (7,), (128 << 33,), ((128 << 33) + 1,), (16_383 << 33,)], "seq long")
+    one, two = ([r[0] for r in rows.select(live.arrival(F.col("seq"), k)).collect()] for k in (3, 4))
+    assert one == sorted(one) and len({*one, *two}) == 10 and max(one) < min(two)
+    with pytest.raises(Exception, match="too many rows"):
+        spark.createDataFrame([(1 << 26,)], "seq long").select(live.arrival(F.col("seq"), 0)).collect()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import SEVERITIES
@@ -57,10 +57,14 @@ def linear_quantile(v: Column, q: float) -> Column:
     return F.percentile(v, min(max(q, 0.0), 1.0) if q == q else 0.0)
 
 
-def nearest_rank(sorted_values: Column, q: float) -> Column:
-    """sorted[round(q (n - 1))], halves away from zero; 0 for no values."""
-    at = F.round(F.lit(q) * (F.size(sorted_values) - 1)).cast("int")
-    return F.coalesce(F.get(sorted_values, at), F.lit(0.0))
+def nearest_ranks(rows: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """(by, n, a column a quantile) of the values' nearest ranks in each group. Equal values are counted before they are
+    ordered, and the ordered counts stream: no group is held as an array."""
+    counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy(*by)
+    ranked = counted.withColumns({"_upto": F.sum("_c").over(whole.orderBy(value)), "_n": F.sum("_c").over(whole)})
+    at = lambda q: F.round(F.lit(q) * (F.col("_n") - 1)).cast("long")
+    return ranked.groupBy(*by).agg(F.max("_n").alias("n"), *(F.coalesce(F.min(F.when(F.col("_upto") > at(q), F.col(value))), F.lit(0.0)).alias(c) for c, q in quantiles.items()))
 
 
 def duration_ns(start: Column, end: Column) -> Column:

@@ -134,13 +134,34 @@ def detect(points: DataFrame, machine: Callable[[], object] | str) -> DataFrame:
     return ordered.select("series_id", "ts_ms", "value").mapInArrow(run, ANOMALY)
 
 
+#: Parts that the robust z-score deals a series in.
+PARTS = 64
+
+
+def _in_parts(points: DataFrame, before: int) -> DataFrame:
+    """points with a part of their series' time, and ``own`` false for copies of the ``before`` rows that precede a part."""
+    span = points.groupBy("series_id").agg(F.min("ts_ms").alias("_from"), (F.max("ts_ms") - F.min("ts_ms") + 1).alias("_span"))
+    placed = points.join(span, "series_id").withColumn("part", F.expr(f"(ts_ms - _from) * {PARTS} div _span")).drop("_from", "_span")
+    sizes = placed.groupBy("series_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    upto = sizes.withColumn("upto", F.sum("n").over(Window.partitionBy("series_id").orderBy("part"))).drop("n")
+    # The last rows of a part, by their distance from its end, go to the parts that begin within ``before`` rows of them.
+    back = F.row_number().over(Window.partitionBy("series_id", "part").orderBy(F.desc("ts_ms"), F.desc("seq")))
+    tails = placed.withColumn("back", back).where(F.col("back") <= before).join(upto, ["series_id", "part"])
+    starts = upto.select("series_id", F.col("part").alias("next"), F.lag("upto").over(Window.partitionBy("series_id").orderBy("part")).alias("start"))
+    near = tails.join(starts, "series_id").where((F.col("next") > F.col("part")) & (F.col("start") - F.col("upto") + F.col("back") <= before))
+    copies = near.select(*points.columns, F.col("next").alias("part"), F.lit(False).alias("own"))
+    return placed.withColumn("own", F.lit(True)).select(*copies.columns).unionByName(copies)
+
+
 def mad(points: DataFrame, window: int = 40, threshold: float = 4.0) -> DataFrame:
-    """Robust z-score of each point against the ``window`` points before it; no Python."""
-    frame = Window.partitionBy("series_id").orderBy("ts_ms", "seq").rowsBetween(-window, -1)
+    """Robust z-score of each point against the ``window`` points before it; no Python. A series is dealt in parts of its
+    time, each with the rows before it, so a series with most points is no single task."""
+    frame = Window.partitionBy("series_id", "part").orderBy("ts_ms", "seq").rowsBetween(-window, -1)
     median = lambda a: (F.get(a, F.lit((window - 1) // 2)) + F.get(a, F.lit(window // 2))) / 2
-    rows = points.select("series_id", "ts_ms", "seq", "value").withColumn("base", F.array_sort(F.collect_list("value").over(frame))).where(F.size("base") == window)
+    rows = _in_parts(points.select("series_id", "ts_ms", "seq", "value"), window)
+    rows = rows.withColumn("base", F.sort_array(F.collect_list("value").over(frame))).where(F.col("own") & (F.size("base") == window))
     rows = rows.withColumn("center", median(F.col("base")))
-    rows = rows.withColumn("mad", median(F.array_sort(F.transform("base", lambda x: F.abs(x - F.col("center"))))))
+    rows = rows.withColumn("mad", median(F.sort_array(F.transform("base", lambda x: F.abs(x - F.col("center"))))))
     rows = rows.where("mad > 0").withColumn("score", F.abs(F.lit(0.6745) * (F.col("value") - F.col("center")) / F.col("mad")))
     found = rows.where(F.col("score") > threshold)
     return found.select("series_id", F.lit("robust z-score (MAD)").alias("detector"), F.col("ts_ms").alias("timestamp_ms"), F.col("value").alias("observed"), F.col("center").alias("expected"), "score")

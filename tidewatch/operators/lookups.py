@@ -14,10 +14,6 @@ def is_root() -> Column:
     return F.col("parent_span_id").isNull()
 
 
-def is_correlated() -> Column:
-    return F.col("trace_id").isNotNull()
-
-
 def window_ns(store: Store, start_ns: int | None = None, end_ns: int | None = None) -> tuple[int, int]:
     """The default window: five minutes up to the latest time; a start alone or an end alone is kept."""
     end = store.latest_ns if end_ns is None else end_ns

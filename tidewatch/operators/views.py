@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ SERVICE_WINDOW_NS = 60 * 1_000_000_000
 
 
 def store_stats(store: Store) -> DataFrame:
-    """One row: counts, encoded bytes of the samples, what 16 bytes a sample would take, and their ratio (0 for nothing)."""
+    """One row: counts, encoded bytes of the samples, what 16 bytes a sample would take, their ratio (0 for nothing), and the
+    latest time."""
     sizes = codec.encoded_sizes(store.metrics)
     m = sizes.agg(F.count(F.lit(1)).alias("series"), F.coalesce(F.sum("samples"), F.lit(0)).alias("samples"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("metric_bytes"))
     s = store.spans.agg(F.count(F.lit(1)).alias("spans"), F.countDistinct("trace_id").alias("traces"))
@@ -23,7 +26,7 @@ def store_stats(store: Store) -> DataFrame:
     row = m.crossJoin(s).crossJoin(g)  # one row each
     ratio = lambda a, b: F.when(b == 0, 0.0).otherwise(F.try_divide(a.cast("double"), b.cast("double")))
     raw = F.col("samples") * 16
-    return row.withColumns({"raw_metric_bytes": raw, "compression_ratio": ratio(raw, F.col("metric_bytes")), "bytes_per_sample": ratio(F.col("metric_bytes"), F.col("samples"))})
+    return row.withColumns({"raw_metric_bytes": raw, "compression_ratio": ratio(raw, F.col("metric_bytes")), "bytes_per_sample": ratio(F.col("metric_bytes"), F.col("samples")), "latest_ns": F.lit(store.latest_ns).cast("long")})
 
 
 def services(store: Store, latest_ns: int | None = None) -> DataFrame:
@@ -32,19 +35,19 @@ def services(store: Store, latest_ns: int | None = None) -> DataFrame:
     end = store.latest_ns if latest_ns is None else latest_ns
     roots = roots_between(store.spans, max(end - SERVICE_WINDOW_NS, 0), end).select("trace_id")
     spans = store.spans.join(roots, "trace_id")
-    ms = X.duration_ms(F.col("start_ns"), F.col("end_ns"))
-    grouped = spans.groupBy(F.coalesce("service", F.lit("?")).alias("service")).agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("status") == "Error").alias("errors"), F.array_sort(F.collect_list(ms)).alias("d"))
-    return grouped.select(
-        "service", "calls", (F.col("calls") / (SERVICE_WINDOW_NS / 1e9)).alias("rps"), (F.col("errors") / F.col("calls")).alias("error_rate"),
-        *(X.nearest_rank(F.col("d"), q).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))),
-    ).orderBy("service")
+    named = spans.select(F.coalesce("service", F.lit("?")).alias("service"), X.duration_ms(F.col("start_ns"), F.col("end_ns")).alias("ms"), (F.col("status") == "Error").alias("failed"))
+    calls = named.groupBy("service").agg(F.count(F.lit(1)).alias("calls"), F.count_if("failed").alias("errors"))
+    ranks = X.nearest_ranks(named, ["service"], "ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99}).drop("n")
+    rates = [(F.col("calls") / (SERVICE_WINDOW_NS / 1e9)).alias("rps"), (F.col("errors") / F.col("calls")).alias("error_rate")]
+    return calls.join(ranks, "service").select("service", "calls", *rates, "p50", "p95", "p99").orderBy("service")
 
 
 def percentile_report(store: Store, metric: str, label: str, value: str, quantiles: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Nearest-rank percentiles of all samples of a metric with the label."""
+    """Nearest-rank percentiles of all samples of a metric with the label; zeros for no samples."""
     rows = compiler.matching(store.metrics, language.Select(metric, ((label, "=", value),)))
-    pooled = rows.agg(F.array_sort(F.collect_list("value")).alias("d"))
-    return pooled.select(*(X.nearest_rank(F.col("d"), q).alias(f"p{q * 100:g}".replace(".", "_")) for q in quantiles))
+    names = {f"p{q * 100:g}".replace(".", "_"): q for q in quantiles}
+    found = X.nearest_ranks(rows.select(F.lit(0).alias("_g"), "value"), ["_g"], "value", names)
+    return found.agg(*(F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in names))
 
 
 def report_points(store: Store, metric: str, label: str, value: str, pooled: bool = True) -> DataFrame:
@@ -71,13 +74,21 @@ def anomaly_report(store: Store, metric: str = "http_request_duration_ms", value
 
 def result_json(result: DataFrame | float) -> object:
     """A query's result in wire form: a dict for a number, a DataFrame of JSON samples for a vector; NaN and infinities are
-    null."""
+    null. ``wire`` makes one object of either."""
     finite = lambda v: F.when(F.isnan(v) | (F.abs(v) == X.INF), None).otherwise(v)
     if isinstance(result, DataFrame):
         return result.select(F.to_json(F.struct("labels", finite(F.col("value")).alias("value")), {"ignoreNullFields": "false"}).alias("sample"))
     return {"type": "scalar", "value": result if abs(result) < X.INF else None}
 
 
+def wire(result: DataFrame | float) -> dict[str, object]:
+    """The whole result as one object, samples in the order of their labels: for an answer to a client, which has to hold it."""
+    if not isinstance(result, DataFrame):
+        return result_json(result)
+    rows = result_json(result.orderBy(X.labels_text(F.col("labels")))).collect()
+    return {"type": "vector", "samples": [json.loads(r["sample"]) for r in rows]}
+
+
 def run_query(store: Store, text: str, at_ns: int | None = None) -> dict[str, object]:
     """{query, plan, result} or {query, error}."""
     try:

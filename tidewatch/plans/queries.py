@@ -67,34 +67,35 @@ _register(
     f"{_M} SELECT event_type, bucket, round(arg_max(value, seq), 6) AS value FROM m WHERE event_type = 'click' AND bucket <> '0' GROUP BY event_type, bucket",
 )
 _register("matcher_absent_label", 'events_total{bucket!="1"}', ("event_type",), f"{_CTR} SELECT event_type, arg_max(value, seq) AS value FROM ctr GROUP BY event_type")
-_register("count_over_time", "count_over_time(event_value[1h])", _BOTH, _over_kept("CAST(count(*) AS DOUBLE)", _HOUR))
-_register("sum_over_time", "sum_over_time(event_value[1h])", _BOTH, _over_kept("sum(value)", _HOUR))
-_register("avg_over_time", "avg_over_time(event_value[10d])", _BOTH, _over("avg(value)", 10 * _DAY))
-_register("min_over_time", "min_over_time(event_value[10d])", _BOTH, _over("min(value)", 10 * _DAY))
-_register("max_over_time", "max_over_time(event_value[10d])", _BOTH, _over("max(value)", 10 * _DAY))
-_register("quantile_over_time", "quantile_over_time(0.95, event_value[10d])", _BOTH, _over("quantile_cont(value, 0.95)", 10 * _DAY))
+_register("count_over_time", "count_over_time(event_value[31d])", _BOTH, _over_kept("CAST(count(*) AS DOUBLE)", 31 * _DAY))
+_register("sum_over_time", "sum_over_time(event_value[31d])", _BOTH, _over_kept("sum(value)", 31 * _DAY))
+_register("empty_series", "count_over_time(event_value[1h])", _BOTH, _over_kept("CAST(count(*) AS DOUBLE)", _HOUR))  # most have no sample in it
+_register("avg_over_time", "avg_over_time(event_value[31d])", _BOTH, _over("avg(value)", 31 * _DAY))
+_register("min_over_time", "min_over_time(event_value[31d])", _BOTH, _over("min(value)", 31 * _DAY))
+_register("max_over_time", "max_over_time(event_value[31d])", _BOTH, _over("max(value)", 31 * _DAY))
+_register("quantile_over_time", "quantile_over_time(0.95, event_value[31d])", _BOTH, _over("quantile_cont(value, 0.95)", 31 * _DAY))
 
 
 def _counted(select: str) -> str:
-    return f"""{_CTR}, w AS (SELECT *, lag(value) OVER (PARTITION BY event_type ORDER BY ts_ms, seq) AS last FROM ctr, e WHERE ts_ms BETWEEN upto - {10 * _DAY} AND upto),
+    return f"""{_CTR}, w AS (SELECT *, lag(value) OVER (PARTITION BY event_type ORDER BY ts_ms, seq) AS last FROM ctr, e WHERE ts_ms BETWEEN upto - {31 * _DAY} AND upto),
 g AS (SELECT event_type, sum(CASE WHEN last IS NULL THEN 0 WHEN value >= last THEN value - last ELSE value END) AS grown, (max(ts_ms) - min(ts_ms)) / 1000.0 AS secs, count(*) AS n FROM w GROUP BY event_type)
 {select}"""
 
 
-_register("increase", "increase(events_total[10d])", ("event_type",), _counted("SELECT s.event_type, round(coalesce(grown, 0.0), 6) AS value FROM s LEFT JOIN g ON s.event_type = g.event_type"))
-_register("rate", "rate(events_total[10d])", ("event_type",), _counted("SELECT event_type, round(grown / secs, 9) AS value FROM g WHERE n >= 2 AND secs > 0"), digits=9)
+_register("increase", "increase(events_total[31d])", ("event_type",), _counted("SELECT s.event_type, round(coalesce(grown, 0.0), 6) AS value FROM s LEFT JOIN g ON s.event_type = g.event_type"))
+_register("rate", "rate(events_total[31d])", ("event_type",), _counted("SELECT event_type, round(grown / secs, 9) AS value FROM g WHERE n >= 2 AND secs > 0"), digits=9)
 
-_COUNTS = f"{_M}, c AS (SELECT event_type, bucket, CAST(count(*) AS DOUBLE) AS v FROM m, e WHERE ts_ms BETWEEN upto - {10 * _DAY} AND upto GROUP BY event_type, bucket)"
-_AVERAGES = f"{_M}, c AS (SELECT event_type, bucket, avg(value) AS v FROM m, e WHERE ts_ms BETWEEN upto - {10 * _DAY} AND upto GROUP BY event_type, bucket)"
-_register("agg_sum_by", "sum by (event_type) (count_over_time(event_value[10d]))", ("event_type",), f"{_COUNTS} SELECT event_type, sum(v) AS value FROM c GROUP BY event_type")
-_register("agg_avg_without", "avg without (event_type) (avg_over_time(event_value[10d]))", ("bucket",), f"{_AVERAGES} SELECT bucket, round(avg(v), 6) AS value FROM c GROUP BY bucket")
-_register("agg_min", "min(avg_over_time(event_value[10d]))", (), f"{_AVERAGES} SELECT round(min(v), 6) AS value FROM c")
-_register("agg_max", "max by (bucket) (avg_over_time(event_value[10d]))", ("bucket",), f"{_AVERAGES} SELECT bucket, round(max(v), 6) AS value FROM c GROUP BY bucket")
+_COUNTS = f"{_M}, c AS (SELECT event_type, bucket, CAST(count(*) AS DOUBLE) AS v FROM m, e WHERE ts_ms BETWEEN upto - {31 * _DAY} AND upto GROUP BY event_type, bucket)"
+_AVERAGES = f"{_M}, c AS (SELECT event_type, bucket, avg(value) AS v FROM m, e WHERE ts_ms BETWEEN upto - {31 * _DAY} AND upto GROUP BY event_type, bucket)"
+_register("agg_sum_by", "sum by (event_type) (count_over_time(event_value[31d]))", ("event_type",), f"{_COUNTS} SELECT event_type, sum(v) AS value FROM c GROUP BY event_type")
+_register("agg_avg_without", "avg without (event_type) (avg_over_time(event_value[31d]))", ("bucket",), f"{_AVERAGES} SELECT bucket, round(avg(v), 6) AS value FROM c GROUP BY bucket")
+_register("agg_min", "min(avg_over_time(event_value[31d]))", (), f"{_AVERAGES} SELECT round(min(v), 6) AS value FROM c")
+_register("agg_max", "max by (bucket) (avg_over_time(event_value[31d]))", ("bucket",), f"{_AVERAGES} SELECT bucket, round(max(v), 6) AS value FROM c GROUP BY bucket")
 _register("agg_count", "count without (bucket) (event_value)", ("event_type",), f"{_M} SELECT event_type, CAST(count(*) AS DOUBLE) AS value FROM s GROUP BY event_type")
-_register("agg_quantile", "quantile by (bucket) (0.5, avg_over_time(event_value[10d]))", ("bucket",), f"{_AVERAGES} SELECT bucket, round(quantile_cont(v, 0.5), 6) AS value FROM c GROUP BY bucket")
-_register("arith_vector_scalar", "avg_over_time(event_value[10d]) / 1000 + 2 * 3", _BOTH, f"{_AVERAGES} SELECT event_type, bucket, round(v / 1000 + 6, 6) AS value FROM c")
-_register("arith_scalar_vector", "1000 - avg_over_time(event_value[10d]) * 2", _BOTH, f"{_AVERAGES} SELECT event_type, bucket, round(1000 - v * 2, 6) AS value FROM c")
-_register("neg", "-avg_over_time(event_value[10d])", _BOTH, f"{_AVERAGES} SELECT event_type, bucket, round(-v, 6) AS value FROM c")
+_register("agg_quantile", "quantile by (bucket) (0.5, avg_over_time(event_value[31d]))", ("bucket",), f"{_AVERAGES} SELECT bucket, round(quantile_cont(v, 0.5), 6) AS value FROM c GROUP BY bucket")
+_register("arith_vector_scalar", "avg_over_time(event_value[31d]) / 1000 + 2 * 3", _BOTH, f"{_AVERAGES} SELECT event_type, bucket, round(v / 1000 + 6, 6) AS value FROM c")
+_register("arith_scalar_vector", "1000 - avg_over_time(event_value[31d]) * 2", _BOTH, f"{_AVERAGES} SELECT event_type, bucket, round(1000 - v * 2, 6) AS value FROM c")
+_register("neg", "-avg_over_time(event_value[31d])", _BOTH, f"{_AVERAGES} SELECT event_type, bucket, round(-v, 6) AS value FROM c")
 
 
 @query("SELECT 'inf' AS zero_divisor, CAST(7.0 AS DOUBLE) AS value")
@@ -104,9 +105,9 @@ def arith_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(str(compiler.query(store, "1 / 0", 0)), compiler.query(store, "1 + 2 * 3", 0))], "zero_divisor string, value double")
 
 
-# Spans and logs. The window of the traces: the last 400 days of orders; of the logs: the last 2 days.
+# Spans and logs. The windows hold all orders and events.
 _SPANS = f"WITH {D.SPANS_SQL}, r AS (SELECT * FROM spans WHERE parent_span_id IS NULL), e AS (SELECT max(start_ns) AS upto FROM r)"
-_SPAN_WINDOW, _LOG_WINDOW = 400 * _DAY * 1_000_000, 2 * _DAY * 1_000_000
+_SPAN_WINDOW, _LOG_WINDOW = 4000 * _DAY * 1_000_000, 31 * _DAY * 1_000_000
 
 
 def _last_order_ns(spark: SparkSession, sf_dir: str) -> int:
@@ -344,13 +345,14 @@ def series_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {D.SPANS_SQL}, {D.LOGS_SQL}, {D.M_SQL} SELECT 'metric' AS signal, count(*) AS n, CAST(round(sum(value), 4) AS DOUBLE) AS total FROM m UNION ALL SELECT 'span', count(*), CAST(count(*) FILTER (status = 'Error') AS DOUBLE) FROM spans
+    f"""WITH {D.SPANS_SQL}, {D.LOGS_SQL}, {D.M_SQL}, {D.CTR_SQL} SELECT 'metric' AS signal, count(*) AS n, CAST(round(sum(value), 4) AS DOUBLE) AS total
+FROM (SELECT value FROM m UNION ALL SELECT value FROM ctr) UNION ALL SELECT 'span', count(*), CAST(count(*) FILTER (status = 'Error') AS DOUBLE) FROM spans
 UNION ALL SELECT 'log', count(*), CAST(sum(severity_num) AS DOUBLE) FROM logs"""
 )
 def signal_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every signal written as an envelope line, parsed once and routed back to its table."""
     store = D.store(spark, sf_dir)
-    lines = envelope.metric_lines(store.metrics.where("name = 'event_value'")).unionByName(envelope.span_lines(store.spans)).unionByName(envelope.log_lines(store.logs))
+    lines = envelope.metric_lines(store.metrics).unionByName(envelope.span_lines(store.spans)).unionByName(envelope.log_lines(store.logs))
     back = envelope.store(envelope.parsed(lines, seq="seq"))
     count = lambda rows, name, total: rows.agg(F.lit(name).alias("signal"), F.count(F.lit(1)).alias("n"), total.cast("double").alias("total"))
     metrics = count(back.metrics, "metric", F.round(F.sum("value"), 4))

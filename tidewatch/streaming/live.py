@@ -1,4 +1,4 @@
-"""Live telemetry with Structured Streaming: a landing folder or a rate of simulated requests in, tables and events out.
+"""Live telemetry with Structured Streaming: a landing folder in, tables and events out.
 
 Routing is stateless and appends; the latest time is the maximum over what was appended, so nothing but the stream's own
 checkpoint is state. Independent queries take the place of a broadcast to subscribers: a slow one falls behind, it loses
@@ -7,7 +7,7 @@ nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,7 +17,18 @@ from ..sources import envelope, otlp
 from ..store import Store
 
 TABLES = {"metrics": METRICS, "spans": SPANS, "logs": LOGS}
-BACKLOG = 256
+
+
+#: Bits of an order of arrival: micro-batch, partition of it, row of that.
+PARTITION_BITS, ROW_BITS = 14, 26
+
+
+def arrival(seq: Column, number: int) -> Column:
+    """The order of arrival over all micro-batches, from the order within one (a partition in the bits from 33 on)."""
+    part, row = F.shiftrightunsigned(seq, 33), seq.bitwiseAND((1 << 33) - 1)
+    fits = (part < 1 << PARTITION_BITS) & (row < 1 << ROW_BITS)
+    own = F.when(fits, part * (1 << ROW_BITS) + row).otherwise(F.raise_error(F.lit("a micro-batch has too many rows or partitions")).cast("long"))
+    return own + F.lit(number << (PARTITION_BITS + ROW_BITS))
 
 
 def signal_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,7 +43,7 @@ def route(lines: DataFrame, base: str, once: bool = True) -> StreamingQuery:
         signals = envelope.parsed(batch).persist()
         try:
             for name, rows in (("metrics", envelope.metrics(signals)), ("spans", envelope.spans(signals)), ("logs", envelope.logs(signals))):
-                rows.withColumn("seq", F.col("seq") + F.lit(number << 40)).write.mode("overwrite").parquet(f"{base}/{name}/batch={number}")
+                rows.withColumn("seq", arrival(F.col("seq"), number)).write.mode("overwrite").parquet(f"{base}/{name}/batch={number}")
         finally:
             signals.unpersist()
 
@@ -41,11 +52,17 @@ def route(lines: DataFrame, base: str, once: bool = True) -> StreamingQuery:
 
 
 def exports(spark: SparkSession, folder: str, base: str) -> StreamingQuery:
-    """OTLP bodies that land in a folder, appended to base/spans."""
+    """OTLP bodies that land in a folder, appended to base/spans; the errors of those that don't decode to base/errors, as
+    (body_id, error)."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
 
     def write(batch: DataFrame, number: int) -> None:
-        otlp.spans(otlp.bodies_of_files(batch)).write.mode("overwrite").parquet(f"{base}/spans/batch={number}")
+        bodies = otlp.bodies_of_files(batch).persist()
+        try:
+            otlp.spans(bodies).write.mode("overwrite").parquet(f"{base}/spans/batch={number}")
+            otlp.decoded(bodies).where("error IS NOT NULL").select("body_id", "error").write.mode("overwrite").parquet(f"{base}/errors/batch={number}")
+        finally:
+            bodies.unpersist()
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/_exports").trigger(availableNow=True).start()
 
