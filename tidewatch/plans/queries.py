@@ -126,14 +126,14 @@ def trace_list_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TRACE = "0" * 31 + "7"
 
 
-@query(f"{_SPANS} SELECT span_id, parent_span_id, name, service, status, start_ns, dur / 1e6 AS duration_ms FROM spans WHERE trace_id = '{_TRACE}'")
+@query(f"{_SPANS} SELECT span_id, parent_span_id, name, 'Internal' AS kind, service, status, start_ns, dur / 1e6 AS duration_ms FROM spans WHERE trace_id = '{_TRACE}'")
 def trace_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookups.trace_detail(D.store(spark, sf_dir), _TRACE)[0].drop("attributes", "kind")
+    return lookups.trace_detail(D.store(spark, sf_dir), _TRACE)[0].drop("attributes")  # null here
 
 
-@query(f"WITH {D.LOGS_SQL} SELECT ts_ns AS timestamp_ns, severity, body, trace_id FROM logs WHERE trace_id = '{_TRACE}'")
+@query(f"WITH {D.LOGS_SQL} SELECT ts_ns AS timestamp_ns, severity, 'events' AS service, body, trace_id, CAST(NULL AS VARCHAR) AS span_id FROM logs WHERE trace_id = '{_TRACE}'")
 def trace_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookups.trace_detail(D.store(spark, sf_dir), _TRACE)[1].drop("service", "span_id")
+    return lookups.trace_detail(D.store(spark, sf_dir), _TRACE)[1]
 
 
 @query(
@@ -144,12 +144,12 @@ def spans_join_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {D.LOGS_SQL}, e AS (SELECT max(ts_ns) AS upto FROM logs) SELECT ts_ns AS timestamp_ns, severity, body, trace_id FROM logs, e
+    f"""WITH {D.LOGS_SQL}, e AS (SELECT max(ts_ns) AS upto FROM logs) SELECT ts_ns AS timestamp_ns, severity, 'events' AS service, body, trace_id, CAST(NULL AS VARCHAR) AS span_id FROM logs, e
 WHERE ts_ns BETWEEN upto - {_LOG_WINDOW} AND upto AND severity_num >= 3 ORDER BY ts_ns DESC, seq LIMIT 100"""
 )
 def log_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = D.last_event_ns(spark, sf_dir)
-    return lookups.log_list(D.store(spark, sf_dir), end - _LOG_WINDOW, end, "WARN", 100).drop("service", "span_id")
+    return lookups.log_list(D.store(spark, sf_dir), end - _LOG_WINDOW, end, "WARN", 100)
 
 
 @query(
@@ -195,11 +195,11 @@ def explain_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {D.SPANS_SQL}, {D.LOGS_SQL}, r AS (SELECT * FROM spans WHERE parent_span_id IS NULL), e AS (SELECT max(start_ns) AS upto FROM r), {_TOP.replace("rank <= 5", "rank <= 200")}
-SELECT ts_ns AS timestamp_ns, severity, body, g.trace_id FROM top JOIN logs g ON top.trace_id = g.trace_id WHERE severity_num >= 4"""
+SELECT ts_ns AS timestamp_ns, severity, 'events' AS service, body, g.trace_id, CAST(NULL AS VARCHAR) AS span_id FROM top JOIN logs g ON top.trace_id = g.trace_id WHERE severity_num >= 4"""
 )
 def explain_error_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = _last_order_ns(spark, sf_dir)
-    return correlate.explain(D.store(spark, sf_dir), end - _SPAN_WINDOW, end, 200)[1].drop("service", "span_id")
+    return correlate.explain(D.store(spark, sf_dir), end - _SPAN_WINDOW, end, 200)[1]
 
 
 @query(
@@ -275,13 +275,24 @@ def cusum_changepoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _detected(points, detectors.detect(points, "cusum"))
 
 
-@query()
+@query(
+    f"""{_P}, b AS (SELECT event_type, avg(value) FILTER (i <= 12) AS one, avg(value) FILTER (i > 12) AS two, list(value ORDER BY i) AS first FROM p WHERE i <= 24 GROUP BY event_type HAVING count(*) = 24),
+r AS (SELECT event_type, 0::BIGINT AS ts_ms, 0::DOUBLE AS x, 12::BIGINT AS i, one AS level, (two - one) / 12 AS trend, list_transform(first[1:12], lambda v: v - one) AS season, 0::DOUBLE AS var, NULL::DOUBLE AS expected, NULL::DOUBLE AS score FROM b
+UNION ALL SELECT event_type, ts_ms, x, i, up, 0.05 * (up - level) + 0.95 * trend, list_transform(season, lambda v, k: CASE WHEN k = slot THEN 0.3 * (x - up) + 0.7 * seasonal ELSE v END), 0.95 * var + 0.05 * (x - f) * (x - f), f,
+CASE WHEN i > 24 AND var > 0 AND abs(x - f) > 4 * sqrt(var) THEN abs(x - f) / sqrt(var) END FROM (
+  SELECT p.event_type, p.ts_ms, p.value AS x, p.i, r.level, r.trend, r.season, r.var, (p.i - 1) % 12 + 1 AS slot, r.season[(p.i - 1) % 12 + 1] AS seasonal, r.level + r.trend + seasonal AS f, 0.3 * (p.value - seasonal) + 0.7 * (r.level + r.trend) AS up
+  FROM r JOIN p ON p.event_type = r.event_type AND p.i = r.i + 1))
+{_FOUND} FROM r WHERE score IS NOT NULL"""
+)
 def holt_winters_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _typed_points(spark, sf_dir)
     return _detected(points, detectors.detect(points, "holt_winters"))
 
 
-@query()
+_REPORT = ", ".join(f"(SELECT count(*) FROM ({SQL[f'{d}']}) WHERE event_type = 'purchase') AS {n}" for n, d in (("ewma", "ewma_anomalies"), ("mad", "mad_anomalies"), ("cusum", "cusum_changepoints")))
+
+
+@query(f"SELECT (SELECT count(*) FROM events WHERE event_type = 'purchase') AS points, {_REPORT}")
 def anomaly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the three detectors over the pooled purchases."""
     return views.anomaly_report(D.store(spark, sf_dir), "event_value", "purchase", "event_type")["counts"]
@@ -298,10 +309,10 @@ def percentile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {D.M_SQL}, {D.SPANS_SQL} SELECT (SELECT count(*) FROM (SELECT DISTINCT event_type, bucket FROM m)) + (SELECT count(DISTINCT event_type) FROM m) AS series,
 2 * (SELECT count(*) FROM m) AS samples, (SELECT count(*) FROM spans) AS spans, (SELECT count(DISTINCT trace_id) FROM spans) AS traces, (SELECT count(*) FROM events) AS logs,
-32 * (SELECT count(*) FROM m) AS raw_metric_bytes"""
+32 * (SELECT count(*) FROM m) AS raw_metric_bytes, (SELECT max(start_ns) FROM spans) AS latest_ns"""
 )
 def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.store_stats(D.store(spark, sf_dir)).select("series", "samples", "spans", "traces", "logs", "raw_metric_bytes")
+    return views.store_stats(D.store(spark, sf_dir)).select("series", "samples", "spans", "traces", "logs", "raw_metric_bytes", "latest_ns")
 
 
 @query()
@@ -336,7 +347,17 @@ def label_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy(X.labels_text(F.col("labels")).alias("labels")).agg(F.count(F.lit(1)).alias("samples"))
 
 
-@query()
+#: FNV-1a over the bytes of name, 0xff, then key = value 0x00 by key; the texts here are ASCII.
+_FNV = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(bytes, lambda b: b::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616::UHUGEINT)"
+_BYTES = "list_transform(string_split({}, ''), lambda c: ascii(c))"
+
+
+@query(
+    f"""WITH {D.M_SQL}, s AS (SELECT DISTINCT 'event_value' AS name, 'bucket=' || bucket || ',event_type=' || event_type AS labels FROM m UNION ALL SELECT DISTINCT 'events_total', 'event_type=' || event_type FROM m),
+t AS (SELECT name, labels, {_BYTES.format("name")} || [255] || flatten(list_transform(string_split(labels, ','), lambda x: {_BYTES.format("x")} || [0])) AS bytes FROM s),
+h AS (SELECT name, labels, {_FNV} AS h FROM t)
+SELECT name, labels, lpad(lower(to_hex(CAST(h AS UBIGINT))), 16, '0') AS series_id FROM h"""
+)
 def series_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The published id of every series."""
     series = D.store(spark, sf_dir).series
