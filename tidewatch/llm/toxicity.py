@@ -117,7 +117,7 @@ class KneserNey:
     @staticmethod
     def mixed(count: np.ndarray, below: np.ndarray, rest: float) -> tuple[np.ndarray, float]:
         """The order of these counts over the order below; and what is left of ``rest``."""
-        size, d = count.sum(), estimate(count)
+        size, d = int(count.sum(dtype=np.int64)), estimate(count)
         left = d * (count > 0).sum() / size if size else 1.0
         return np.maximum(count - d, 0) / max(1, size) + left * below, left * rest
 
@@ -251,17 +251,21 @@ def counted(texts: DataFrame) -> Counts:
     pairs = durable(uses.groupBy("v", "w", "stem").agg(*by_class(lambda k: F.col("k") == k, "c")), "toxicity-pairs")
     follows = pairs.groupBy("w", "stem").agg(*by_class(lambda k: F.col(f"c{k}") > 0, "f"))
     after = pairs.groupBy(F.col("v").alias("w")).agg(*(F.sum(f"c{k}").alias(f"t{k}") for k in (0, 1)))
-    alone = follows.join(after, "w", "full").withColumn("stem", F.coalesce("stem", F.lit(START))).fillna(0).toPandas().sort_values("w")
+    small = lambda names: [F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in names]
+    alone = follows.join(after, "w", "full").select("w", F.coalesce("stem", F.lit(START)).alias("stem"), *small(["f0", "f1", "t0", "t1"])).toArrow()
     few = pairs.agg(*(F.count_if(F.col(f"c{k}") == n) for k in (0, 1) for n in (1, 2))).first()
-    kept = pairs.where(F.col("c0") + F.col("c1") >= KEEP).select("v", "w", "c0", "c1").toPandas()
+    kept = pairs.where(F.col("c0") + F.col("c1") >= KEEP).select("v", "w", *small(["c0", "c1"])).toArrow()
     drop_durable(pairs)
-    names = alone.w.to_numpy(np.int64)
-    place = lambda x: np.searchsorted(names, x.to_numpy(np.int64))
-    both = lambda frame, name: np.stack([frame[name + k].to_numpy(np.int64) for k in "01"])
-    stems, stem = np.unique(alone.stem.to_numpy(np.int64), return_inverse=True)
-    follows = both(alone, "f")
+    column = lambda table, name: table.column(name).to_numpy()
+    order = np.argsort(column(alone, "w"))
+    names, by_word = column(alone, "w")[order], lambda name: np.stack([column(alone, name + k)[order] for k in "01"])
+    stems, stem = np.unique(column(alone, "stem")[order], return_inverse=True)
+    follows, total = by_word("f"), by_word("t")
+    del alone, order
     forms = np.stack([np.bincount(stem, f > 0, len(stems)).astype(np.int64) for f in follows])
-    return Counts(names, stems, stem, follows, both(alone, "t"), forms, place(kept.v), place(kept.w), both(kept, "c"), (discount(*few[:2]), discount(*few[2:])))
+    first, second = (np.searchsorted(names, column(kept, c)) for c in "vw")
+    count = np.stack([column(kept, "c" + k) for k in "01"])
+    return Counts(names, stems, stem, follows, total, forms, first, second, count, (discount(*few[:2]), discount(*few[2:])))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, teaches=None, rows: int = FIT_ROWS) -> Model | float:
