@@ -66,6 +66,8 @@ class Chunks(dict):
         #: Strings that the tokenizer takes out of a text before it splits it, in either case.
         added = sorted(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.added = re.compile("|".join(added) or "(?!)", re.IGNORECASE)
+        start = os.path.commonprefix([t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
+        self.mark = start if start.lower() == start.upper() else ""  # a text without it has none of them
         vocabulary = self.tokenizer.get_vocab()
         if len(vocabulary) > 1 << 16:
             raise ValueError("the vocabulary has more than 65,536 ids")
@@ -90,16 +92,18 @@ class Chunks(dict):
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u2")
-        if NOT_PLAIN.search(text) or self.added.search(text):
+        if NOT_PLAIN.search(text) or (self.mark in text and self.added.search(text)):
             return self.encode(text)
         pieces = PIECES.findall(text.encode().translate(ASCII_LOWER).decode())
-        new = [p for p in set(pieces) if p not in self]
-        if new:
+        parts = list(map(self.get, pieces))
+        if None in parts:
+            new = {p for p, ids in zip(pieces, parts, strict=True) if ids is None}
             if len(self) + len(new) > REMEMBER:
                 self.clear()
-                new = list(set(pieces))
-            self.learn(new)
-        return np.frombuffer(b"".join(map(self.__getitem__, pieces)), "<u2")
+                new = set(pieces)
+            self.learn(list(new))
+            parts = list(map(self.__getitem__, pieces))
+        return np.frombuffer(b"".join(parts), "<u2")
 
 
 @lru_cache(maxsize=2)
