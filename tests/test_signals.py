@@ -218,3 +218,11 @@ def test_arrival_keeps_micro_batches_apart(spark):
     assert one == sorted(one) and len({*one, *two}) == 10 and max(one) < min(two)
     with pytest.raises(Exception, match="too many rows"):
         spark.createDataFrame([(1 << 26,)], "seq long").select(live.arrival(F.col("seq"), 0)).collect()
+
+
+def test_long_series_are_cut_into_chunks(spark):
+    rows = [(s, k * 1000, float(k % 7), k) for s in (1, 2) for k in range(25 * s)]
+    points = spark.createDataFrame(rows, "series_id long, ts_ms long, value double, seq long")
+    chunks = codec.encoded(points, most=10)
+    assert sorted((r.series_id, r.samples) for r in chunks.collect()) == [(1, 5), (1, 10), (1, 10), *[(2, 10)] * 5]
+    assert sorted(tuple(r) for r in codec.decoded(chunks).collect()) == [(s, t, v) for s, t, v, _ in rows]

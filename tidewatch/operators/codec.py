@@ -117,7 +117,7 @@ def decode(data: bytes, count: int) -> list[tuple[int, float]]:
     return out
 
 
-def _chunks(metrics: DataFrame, keep: bool, schema: str) -> DataFrame:
+def _chunks(metrics: DataFrame, keep: bool, schema: str, most: int | None = None) -> DataFrame:
     names = [p.split(" ")[0] for p in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +125,7 @@ def _chunks(metrics: DataFrame, keep: bool, schema: str) -> DataFrame:
         row = lambda: pa.RecordBatch.from_arrays([pa.array([x]) for x in (last, writer.count, writer.data() if keep else writer.bytes_used)], names=names)
         for batch in batches:
             for series, time, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if series != last:
+                if series != last or writer.count == most:
                     if writer:
                         yield row()
                     last, writer = series, Writer(keep)
@@ -142,9 +142,9 @@ def encoded_sizes(metrics: DataFrame) -> DataFrame:
     return _chunks(metrics, False, "series_id long, samples long, bytes long")
 
 
-def encoded(metrics: DataFrame) -> DataFrame:
-    """(series_id, samples, chunk) of every series."""
-    return _chunks(metrics, True, "series_id long, samples long, chunk binary")
+def encoded(metrics: DataFrame, most: int = 1 << 16) -> DataFrame:
+    """(series_id, samples, chunk) of every series, in chunks of at most ``most`` samples, so that neither side holds more."""
+    return _chunks(metrics, True, "series_id long, samples long, chunk binary", most)
 
 
 def decoded(chunks: DataFrame) -> DataFrame:
