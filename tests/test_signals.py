@@ -226,3 +226,79 @@ def test_long_series_are_cut_into_chunks(spark):
     chunks = codec.encoded(points, most=10)
     assert sorted((r.series_id, r.samples) for r in chunks.collect()) == [(1, 5), (1, 10), (1, 10), *[(2, 10)] * 5]
     assert sorted(tuple(r) for r in codec.decoded(chunks).collect()) == [(s, t, v) for s, t, v, _ in rows]
+
+
+def test_simulated_attributes_and_failures(shop):
+    a = F.col("attributes")
+    reads = {"api-gateway": X.text_attribute(a, "net.peer.ip"), "auth": X.int_attribute(a, "auth.token.ttl_s"), "catalog": X.bool_attribute(a, "cache.hit"), "payments": X.double_attribute(a, "payment.amount_usd")}
+    for service, read in reads.items():
+        found = [r[0] for r in shop.spans.where(F.col("service") == service).select(read).collect()]
+        assert len(found) == 120 and None not in found and len(set(found)) > 1, service
+    assert shop.spans.where(X.text_attribute(a, "service.name") != F.col("service")).count() == 0
+    said = {r.body for r in shop.logs.where("severity = 'Error'").collect()}
+    assert said and said <= {f"{k}: {v}" for k, v in simulator.FAILURES.items()}
+
+
+def test_terminal_lines(spark):
+    spans = spark.createDataFrame([span(T1, S1, None, 0, 100_000_000, 1, "web"), span(T1, S2, S1, 50_000_000, 75_050_000, 2, "a-service-of-a-long-name", "Error"), span("0b" * 16, S1, S2, 0, 5, 3)], SPANS)
+    logs = spark.createDataFrame([log(1, "Warn", 1, T1, "slow"), log(2, "Info", 2, None, "alone"), log(3, "Error", 3, "0c" * 16, "no spans")], LOGS)
+    metrics = spark.createDataFrame([(T1, "reqs", {"b": "2", "a": "1"}, 2.6, 1), (T1, "up", {}, 1.0, 2)], "trace_id string, name string, labels map<string,string>, value double, seq long")
+    rows = views.terminal(spans, logs, metrics).orderBy("trace_id", "part", "place").collect()
+    assert {r.trace_id for r in rows} == {T1}  # a trace without a root has no lines
+    assert [r.line for r in rows] == [
+        "▶ trace 0a0a0a0a     100.0ms   ● OK",
+        "  web              " + "█" * 36 + "   100.0ms",
+        "  a-service-of-a-long-name " + " " * 18 + "█" * 9 + "    25.1ms",
+        "  ▲ slow",
+        "  ▸ reqs{a=1,b=2} 3",
+        "  ▸ up 1",
+    ]
+
+
+def test_anomaly_document(spark, shop):
+    found = views.anomaly_document(shop)
+    assert found["metric"] == "http_request_duration_ms" and found["status"] == "200" and set(found["detectors"]) == {"ewma", "mad", "cusum"}
+    assert found["points"] > 0 and (found["changepoint"] is None) == (found["cause"] is None)
+    steps = [(1, k, k, 100.0 + k % 3 if k < 60 else 300.0) for k in range(90)]
+    points = spark.createDataFrame([("m", "Gauge", {"status": "200"}, *p[:2], p[3], p[2]) for p in steps], "name string, kind string, labels map<string,string>, series_id long, ts_ms long, value double, seq long")
+    ms = 1_000_000
+    spans = spark.createDataFrame([span(T1, S1, None, 61 * ms, 90 * ms, 1, "web", "Error"), span(T1, S2, S1, 62 * ms, 82 * ms, 2, "db")], SPANS)
+    logs = spark.createDataFrame([log(70 * ms, "Error", 1, T1, "down"), log(71 * ms, "Info", 2, T1, "fine")], LOGS)
+    found = views.anomaly_document(Store(points, spans, logs), "m")
+    assert found["changepoint"]["timestamp_ms"] == 60 and found["changepoint"]["observed"] == 300.0
+    assert found["cause"]["slowest"] == [{"trace_id": T1, "operation": "op", "duration_ms": 29.0, "failed": True, "bottleneck_service": "db", "bottleneck_op": "op", "bottleneck_ms": 20.0}]
+    assert [json.loads(r.json)["body"] for r in found["cause"]["error_logs"].collect()] == ["down"]
+    nothing = views.anomaly_document(Store(points, spans, logs), "absent")
+    assert nothing["points"] == 0 and nothing["changepoint"] is None and nothing["cause"] is None
+
+
+def test_statistics_of_nothing(spark):
+    numbers = spark.createDataFrame([(1, 2.0), (1, 4.0), (1, 9.0), (2, 5.0), (3, None)], "k int, x double")
+    rows = numbers.groupBy("k").agg(X.mean(F.col("x")), X.stddev(F.col("x")), X.median(F.col("x"))).orderBy("k").collect()
+    assert tuple(rows[0])[1:] == pytest.approx((5.0, math.sqrt(26 / 3), 4.0))
+    assert tuple(rows[1])[1:] == (5.0, 0.0, 5.0) and tuple(rows[2])[1:] == (0.0, 0.0, 0.0)
+
+
+def test_feed_backfills_and_tells_subscribers(spark, tmp_path):
+    base, numbers = str(tmp_path / "feed"), str(tmp_path / "numbers")
+    read = lambda: spark.readStream.schema("value long").parquet(numbers)
+    run = lambda: live.feed(read(), base, backfill=20)
+    spark.range(5).withColumnRenamed("id", "value").write.parquet(numbers)
+    for size in (5, 12):
+        following = run()
+        following.processAllAvailable()
+        following.stop()
+        stored = live.store(spark, base)
+        assert stored.spans.count() == 6 * (20 + size) and stored.metrics.count() == 2 * (20 + size)
+        spark.range(size, 12).withColumnRenamed("id", "value").write.mode("append").parquet(numbers)
+    want = simulator.store(spark, 32)
+    columns = ["trace_id", "span_id", "start_ns", "status"]
+    assert stored.spans.select(*columns).exceptAll(want.spans.select(*columns)).count() == 0
+    told = []
+    live.subscribe(live.events(spark, base), told.append, str(tmp_path / "all")).awaitTermination(60)
+    events = [json.loads(t) for batch in told for t in batch]
+    assert len(events) == 12 and [e["timestamp_ns"] for e in events] == sorted(e["timestamp_ns"] for e in events)
+    few = []
+    live.subscribe(live.events(spark, base), few.append, str(tmp_path / "few"), backlog=3).awaitTermination(60)
+    times = sorted(e["timestamp_ns"] for e in events)
+    assert [json.loads(t)["timestamp_ns"] for t in few[-1]] == times[-3:] and sum(map(len, few)) < 12

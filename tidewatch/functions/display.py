@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .exprs import labels_text
+
 NOTHING = "—"
+SEVERITY_SIGNS = ("·", "·", "ⓘ", "▲", "✖", "✖")
 
 
 def _fixed(x: Column, digits: int) -> Column:
@@ -38,3 +41,30 @@ def compact(x: Column) -> Column:
 def waterfall_bar(offset: Column, size: Column) -> Column:
     """A bar of the waterfall as text."""
     return F.concat(F.repeat(F.lit(" "), offset), F.repeat(F.lit("█"), size))
+
+
+def span_line(service: Column, offset: Column, size: Column, ns: Column) -> Column:
+    """A span as a row of the waterfall: service, bar, duration."""
+    return F.concat(F.lit("  "), F.rpad(service, F.greatest(F.length(service), F.lit(16)), " "), F.lit(" "), waterfall_bar(offset, size), F.lit(" "), tenths(ns))
+
+
+def header_line(trace_id: Column, ns: Column, failed: Column) -> Column:
+    return F.concat(F.lit("▶ trace "), F.substring(trace_id, 1, 8), F.lit("   "), tenths(ns), F.lit("   "), F.when(failed, "● FAIL").otherwise("● OK"))
+
+
+def log_line(severity_num: Column, body: Column) -> Column:
+    """A log after the sign of its severity."""
+    return F.concat(F.lit("  "), F.get(F.array(*map(F.lit, SEVERITY_SIGNS)), severity_num), F.lit(" "), body)
+
+
+def metric_text(name: Column, labels: Column, value: Column) -> Column:
+    """name{key=value,...} number"""
+    inside = F.when(F.size(labels) > 0, F.concat(F.lit("{"), labels_text(labels), F.lit("}"))).otherwise("")
+    return F.concat(name, inside, F.lit(" "), _fixed(value, 0))
+
+
+def tenths(ns: Column) -> Column:
+    """Nanoseconds as milliseconds with one decimal, at least seven places wide; halves go up."""
+    n = F.floor((ns + 50_000) / 100_000)
+    text = F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+    return F.concat(F.lpad(text, F.greatest(F.length(text), F.lit(7)), " "), F.lit("ms"))

@@ -52,6 +52,20 @@ def max_number(v: Column, none: float) -> Column:
     return F.coalesce(F.max(F.when(~F.isnan(v), v)), F.when(F.count(v) > 0, F.lit(none)))
 
 
+def mean(v: Column) -> Column:
+    """0 for no values, as ``stddev`` and ``median`` are."""
+    return F.coalesce(F.avg(v), F.lit(0.0))
+
+
+def stddev(v: Column) -> Column:
+    """Of a population; 0 for a single value."""
+    return F.coalesce(F.stddev_pop(v), F.lit(0.0))
+
+
+def median(v: Column) -> Column:
+    return F.coalesce(linear_quantile(v, 0.5), F.lit(0.0))
+
+
 def linear_quantile(v: Column, q: float) -> Column:
     """Linear interpolation between closest ranks, q held to [0, 1]."""
     return F.percentile(v, min(max(q, 0.0), 1.0) if q == q else 0.0)

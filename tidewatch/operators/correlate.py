@@ -51,13 +51,18 @@ def explain(store: Store, start_ns: int, end_ns: int, top: int = 5) -> tuple[Dat
 
 def waterfall(spans: DataFrame, width: int = 36) -> DataFrame:
     """Each span's bar (offset, size) against the first root of its trace."""
+    return placed(spans, width).select("trace_id", "span_id", "offset", "size")
+
+
+def placed(spans: DataFrame, width: int = 36) -> DataFrame:
+    """spans with their bars; those of traces without a root have none and are left out."""
     first = F.min_by(F.struct("start_ns", F.greatest(X.duration_ns(F.col("start_ns"), F.col("end_ns")), F.lit(1).cast("bigint")).alias("total")), F.struct("start_ns", "seq"))
     roots = spans.where("parent_span_id IS NULL").groupBy("trace_id").agg(first.alias("root"))
     share = lambda x: x / F.col("root.total") * width
     rows = spans.join(roots, "trace_id")
     rows = rows.withColumn("offset", F.least(F.floor(share(X.duration_ns(F.col("root.start_ns"), F.col("start_ns")))), F.lit(width - 1)))
     size = F.greatest(F.least(F.round(share(X.duration_ns(F.col("start_ns"), F.col("end_ns")))), width - F.col("offset")), F.lit(1))
-    return rows.select("trace_id", "span_id", F.col("offset").cast("int").alias("offset"), size.cast("int").alias("size"))
+    return rows.withColumn("size", size.cast("int")).withColumn("offset", F.col("offset").cast("int")).drop("root")
 
 
 def service_edges(spans: DataFrame) -> DataFrame:

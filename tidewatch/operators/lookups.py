@@ -14,6 +14,11 @@ def is_root() -> Column:
     return F.col("parent_span_id").isNull()
 
 
+def is_correlated() -> Column:
+    """Logs that belong to a trace."""
+    return F.col("trace_id").isNotNull()
+
+
 def window_ns(store: Store, start_ns: int | None = None, end_ns: int | None = None) -> tuple[int, int]:
     """The default window: five minutes up to the latest time; a start alone or an end alone is kept."""
     end = store.latest_ns if end_ns is None else end_ns
@@ -78,4 +83,4 @@ def log_list(store: Store, start_ns: int | None = None, end_ns: int | None = Non
 
 def spans_with_logs(store: Store) -> DataFrame:
     """Every log next to each span of its trace."""
-    return store.spans.select("trace_id", "span_id", "name").join(store.logs.select("trace_id", "ts_ns", "severity", "body", F.col("seq").alias("log_seq")), "trace_id")
+    return store.spans.select("trace_id", "span_id", "name").join(store.logs.where(is_correlated()).select("trace_id", "ts_ns", "severity", "body", F.col("seq").alias("log_seq")), "trace_id")

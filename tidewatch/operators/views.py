@@ -7,11 +7,12 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import display
 from ..functions import exprs as X
 from ..plans import compiler, language
 from ..store import Store
 from . import codec, correlate, detectors
-from .lookups import roots_between
+from .lookups import is_correlated, roots_between
 
 SERVICE_WINDOW_NS = 60 * 1_000_000_000
 
@@ -72,6 +73,38 @@ def anomaly_report(store: Store, metric: str = "http_request_duration_ms", value
     return {"counts": counts, "changepoint": change, "slowest": slowest, "error_logs": errors}
 
 
+def anomaly_document(store: Store, metric: str = "http_request_duration_ms", value: str = "200", label: str = "status") -> dict[str, object]:
+    """The report as one object: metric, label's value, points, counts of the detectors, the first change point and its cause
+    (both None without one). Only the counts, the change point and the five slowest traces come to the driver; the error logs
+    stay a DataFrame of JSON texts."""
+    found = anomaly_report(store, metric, value, label)
+    counts = found["counts"].first().asDict()
+    points = counts.pop("points")
+    change = found["changepoint"].select("timestamp_ms", "observed", "expected", "score").first()
+    cause = None
+    if change:
+        slowest = [r.asDict() for r in found["slowest"].drop("rank").withColumnRenamed("root_op", "operation").collect()]
+        cause = {"slowest": slowest, "error_logs": rows_json(found["error_logs"])}
+    return {"metric": metric, label: value, "points": points, "detectors": counts, "changepoint": change and change.asDict(), "cause": cause}
+
+
+def terminal(spans: DataFrame, logs: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
+    """(trace_id, part, place, line): each trace as text. Part 0 is its header, from its first root; 1 the spans with their bars;
+    2 the logs; 3 one line for each sample of ``metrics``, which has to carry a trace_id. Place orders the lines of a part."""
+    ns = X.duration_ns(F.col("start_ns"), F.col("end_ns"))
+    first = F.min_by(F.struct(ns.alias("ns"), (F.col("status") == "Error").alias("failed")), F.struct("start_ns", "seq")).alias("r")
+    heads = spans.where("parent_span_id IS NULL").groupBy("trace_id").agg(first)
+    line = lambda rows, part, text: rows.select("trace_id", F.lit(part).alias("part"), F.col("seq").alias("place"), text.alias("line"))
+    header = line(heads.withColumn("seq", F.lit(0).cast("bigint")), 0, display.header_line(F.col("trace_id"), F.col("r.ns"), F.col("r.failed")))
+    drawn = correlate.placed(spans)
+    bars = line(drawn, 1, display.span_line(F.coalesce("service", F.lit("?")), F.col("offset"), F.col("size"), ns))
+    said = line(logs.where(is_correlated()).join(heads.select("trace_id"), "trace_id", "left_semi"), 2, display.log_line(F.col("severity_num"), F.col("body")))
+    out = header.unionByName(bars).unionByName(said)
+    if metrics is not None:
+        out = out.unionByName(line(metrics, 3, F.concat(F.lit("  ▸ "), display.metric_text(F.col("name"), F.col("labels"), F.col("value")))))
+    return out
+
+
 def result_json(result: DataFrame | float) -> object:
     """A query's result in wire form: a dict for a number, a DataFrame of JSON samples for a vector; NaN and infinities are
     null. ``wire`` makes one object of either."""

@@ -11,8 +11,8 @@ from ..functions import display
 from ..functions import exprs as X
 from ..operators import codec, correlate, detectors, lookups, views
 from ..sources import driver_tables as D
-from ..sources import envelope, simulator
-from ..store import with_series_id
+from ..sources import envelope, otlp, simulator
+from ..store import scratch, with_series_id
 from ..streaming import live
 from . import compiler, language
 
@@ -211,12 +211,29 @@ def waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.waterfall(D.store(spark, sf_dir).spans)
 
 
+_TENTHS = "lpad(CAST({0} // 10 AS VARCHAR) || '.' || CAST({0} % 10 AS VARCHAR), CAST(greatest(7, length(CAST({0} // 10 AS VARCHAR)) + 2) AS INTEGER), ' ') || 'ms'".format("((CAST({0} AS BIGINT) + 50000) // 100000)")
+_SIGN = "CASE WHEN severity_num < 2 THEN '·' WHEN severity_num = 2 THEN 'ⓘ' WHEN severity_num = 3 THEN '▲' ELSE '✖' END"
+
+
+@query(
+    f"""WITH {D.SPANS_SQL}, {D.LOGS_SQL}, f AS (SELECT trace_id, arg_min(start_ns, seq) AS t0, greatest(arg_min(dur, seq), 1) AS total FROM spans WHERE parent_span_id IS NULL GROUP BY trace_id),
+o AS (SELECT s.*, total, CAST(least(floor(greatest(start_ns - t0, 0) / total * 36), 35) AS BIGINT) AS o FROM spans s JOIN f ON s.trace_id = f.trace_id)
+SELECT trace_id, 0 AS part, 0 AS place, '▶ trace ' || substr(trace_id, 1, 8) || '   ' || {_TENTHS.format("dur")} || '   ' || CASE WHEN status = 'Error' THEN '● FAIL' ELSE '● OK' END AS line FROM spans WHERE parent_span_id IS NULL
+UNION ALL SELECT trace_id, 1, seq, '  ' || rpad(service, 16, ' ') || ' ' || repeat(' ', o) || repeat('█', CAST(greatest(least(round(dur / total * 36), 36 - o), 1) AS BIGINT)) || ' ' || {_TENTHS.format("dur")} FROM o
+UNION ALL SELECT g.trace_id, 2, g.seq, '  ' || {_SIGN} || ' ' || body FROM logs g JOIN f ON f.trace_id = g.trace_id"""
+)
+def terminal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every trace as the lines of a terminal: header, waterfall, logs."""
+    store = D.store(spark, sf_dir)
+    return views.terminal(store.spans, store.logs)
+
+
 @query(f"{_SPANS} SELECT p.service AS caller, c.service AS callee, count(*) AS calls FROM spans c JOIN spans p ON c.trace_id = p.trace_id AND c.parent_span_id = p.span_id GROUP BY ALL")
 def service_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.service_edges(D.store(spark, sf_dir).spans)
 
 
-@query(f"{_SPANS} SELECT 'request' AS kind, trace_id, name AS route, CASE WHEN status = 'Error' THEN 500 ELSE 200 END AS status, dur / 1e6 AS duration_ms, status = 'Error' AS failed, end_ns AS timestamp_ns FROM r")
+@query(f"{_SPANS} SELECT 'request' AS kind, trace_id, name AS route, CASE WHEN status = 'Error' THEN 500 ELSE 200 END AS status, dur / 1e6 AS duration_ms, status = 'Error' AS failed, start_ns AS timestamp_ns FROM r")
 def request_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.request_events(D.store(spark, sf_dir).spans)
 
@@ -298,6 +315,22 @@ def anomaly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.anomaly_report(D.store(spark, sf_dir), "event_value", "purchase", "event_type")["counts"]
 
 
+@query(f"SELECT timestamp_ms, observed, expected, score FROM ({SQL['cusum_changepoints']}) WHERE event_type = 'purchase' ORDER BY timestamp_ms LIMIT 1")
+def anomaly_changepoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first change point of the report, whose cause it explains."""
+    found = views.anomaly_report(D.store(spark, sf_dir), "event_value", "purchase", "event_type")["changepoint"]
+    return found.select("timestamp_ms", "observed", F.round("expected", 6).alias("expected"), F.round("score", 6).alias("score"))
+
+
+@query(f"{_M} SELECT event_type, bucket, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS stddev, round(quantile_cont(value, 0.5), 6) AS median FROM m GROUP BY ALL")
+def series_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, population deviation and median of every series."""
+    points = D.store(spark, sf_dir).metrics.where("name = 'event_value'")
+    v, labels = F.col("value"), F.col("labels")
+    rows = points.groupBy("labels").agg(*(F.round(f(v), 6).alias(f.__name__) for f in (X.mean, X.stddev, X.median)))
+    return rows.select(labels["event_type"].alias("event_type"), labels["bucket"].alias("bucket"), "mean", "stddev", "median")
+
+
 @query(
     f"""{_M}, q AS (SELECT list_sort(list(value)) AS d, count(*) AS n FROM m WHERE event_type = 'purchase')
 SELECT d[CAST(round(0.5 * (n - 1)) AS BIGINT) + 1] AS p50, d[CAST(round(0.95 * (n - 1)) AS BIGINT) + 1] AS p95, d[CAST(round(0.99 * (n - 1)) AS BIGINT) + 1] AS p99 FROM q"""
@@ -380,6 +413,63 @@ def signal_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.unionByName(count(back.spans, "span", F.count_if(F.col("status") == "Error"))).unionByName(count(back.logs, "log", F.sum("severity_num")))
 
 
+@query(f"WITH {D.SPANS_SQL} SELECT trace_id, span_id, parent_span_id, name, 'Internal' AS kind, service, status, start_ns, end_ns, seq AS batch FROM spans")
+def otlp_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every span as an OTLP/JSON export of its own, decoded again."""
+    text = lambda c: F.col(c).cast("string")
+    attribute = lambda key, kind, value: F.struct(F.lit(key).alias("key"), F.struct(value.alias(kind)).alias("value"))
+    code = F.when(F.col("status") == "Error", 2).otherwise(1)
+    one = F.struct(
+        F.upper("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.col("parent_span_id").alias("parentSpanId"), "name", F.lit(1).alias("kind"), text("start_ns").alias("startTimeUnixNano"), text("end_ns").alias("endTimeUnixNano"),
+        F.struct(code.alias("code")).alias("status"), F.array(attribute("batch", "intValue", text("seq"))).alias("attributes"),
+    )
+    resource = F.struct(F.array(attribute("service.name", "stringValue", F.col("service"))).alias("attributes"))
+    body = F.to_json(F.struct(F.array(F.struct(resource.alias("resource"), F.array(F.struct(F.array(one).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans")))
+    bodies = D.store(spark, sf_dir).spans.select(F.col("seq").alias("body_id"), F.lit("application/json").alias("content_type"), body.alias("body"))
+    back = otlp.spans(bodies).withColumn("batch", X.int_attribute(F.col("attributes"), "batch"))
+    return back.select("trace_id", "span_id", "parent_span_id", "name", "kind", "service", "status", "start_ns", "end_ns", "batch")
+
+
+@query(
+    f"""WITH {D.SPANS_SQL}, {D.LOGS_SQL}, {D.M_SQL}, {D.CTR_SQL} SELECT 'metrics' AS what, count(*) AS n, max(ts_ms) AS latest FROM (SELECT ts_ms FROM m UNION ALL SELECT ts_ms FROM ctr)
+UNION ALL SELECT 'spans', count(*), max(start_ns) FROM spans UNION ALL SELECT 'logs', count(*), max(ts_ns) FROM logs UNION ALL SELECT 'events', count(*), max(start_ns) FROM spans WHERE parent_span_id IS NULL"""
+)
+def streamed_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every signal landed as a line, streamed to its table, and the request events of the streamed spans published."""
+    store = D.store(spark, sf_dir)
+    lines = envelope.metric_lines(store.metrics).unionByName(envelope.span_lines(store.spans)).unionByName(envelope.log_lines(store.logs))
+    with scratch(spark, "streamed") as base:
+        lines.select("value").write.text(f"{base}/in")
+        live.route(live.signal_lines(spark, f"{base}/in"), f"{base}/out").awaitTermination()
+        back = live.store(spark, f"{base}/out")
+        spans = spark.readStream.schema(back.spans.schema).option("recursiveFileLookup", "true").parquet(f"{base}/out/spans")
+        live.publish(spans, f"{base}/out").awaitTermination()
+        told = spark.read.schema("value string").parquet(f"{base}/out/events").select(F.get_json_object("value", "$.timestamp_ns").cast("long").alias("at"))
+        count = lambda rows, what, at: rows.agg(F.lit(what).alias("what"), F.count(F.lit(1)).alias("n"), F.max(at).alias("latest"))
+        parts = [count(back.metrics, "metrics", "ts_ms"), count(back.spans, "spans", "start_ns"), count(back.logs, "logs", "ts_ns"), count(told, "events", "at")]
+        rows = [tuple(p.first()) for p in parts]
+    return spark.createDataFrame(rows, "what string, n long, latest long")
+
+
+@query(
+    """SELECT event_id, event_type AS text, event_id AS whole, value AS fraction, event_id % 2 = 0 AS truth, 0 AS coerced, CASE WHEN event_id % 2 = 0 THEN event_type ELSE '?' END AS service FROM events"""
+)
+def typed_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes of four types, each read as what it is; reads as another type give nothing."""
+    events = D.read(spark, sf_dir, "events")
+    even = F.col("event_id") % 2 == 0
+    values = {"text": F.col("event_type"), "whole": F.col("event_id"), "fraction": F.col("value"), "truth": even}
+    variant = lambda c: c.cast("variant")
+    rows = events.withColumn("a", F.create_map(*(x for k, c in values.items() for x in (F.lit(k), variant(c)))))
+    rows = rows.withColumn("r", F.create_map(F.lit("service.name"), F.when(even, variant(F.col("event_type"))).otherwise(variant(F.col("event_id")))))
+    reads = {"text": X.text_attribute, "whole": X.int_attribute, "fraction": X.double_attribute, "truth": X.bool_attribute}
+    coerced = [f(F.col("a"), k).isNotNull().cast("int") for k in values for own, f in reads.items() if own != k]
+    total = coerced[0]
+    for c in coerced[1:]:
+        total = total + c
+    return rows.select("event_id", *(f(F.col("a"), k).alias(k) for k, f in reads.items()), total.alias("coerced"), X.service_of(F.col("r")).alias("service"))
+
+
 @query("SELECT * FROM (VALUES ('spans', 1200), ('metrics', 400), ('roots', 200), ('services', 6)) v(what, n)")
 def simulator_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of what two hundred simulated requests emit."""
@@ -394,10 +484,29 @@ def service_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulator.topology(spark)
 
 
-@query("SELECT 'Aggregate sum by (status)\n  Func count_over_time\n    Select m{status=\"200\"} [10m]\n' AS plan")
+#: Texts of the language and the trees they print as.
+_PLANS = {
+    'sum by (status) (count_over_time(m{status="200"}[10m]))': 'Aggregate sum by (status)\n  Func count_over_time\n    Select m{status="200"} [10m]\n',
+    "-up": "Neg\n  Select up\n",
+    "2 * (up + 0.5)": "Binary *\n  Scalar 2\n  Binary +\n    Select up\n    Scalar 0.5\n",
+    "quantile(0.9, up)": "Aggregate quantile (φ=0.9)\n  Select up\n",
+    "quantile_over_time(0.5, up[90s])": "Func quantile_over_time (φ=0.5)\n  Select up [90s]\n",
+    'max without (a, b) (rate(up{a!="x"}[2h]))': 'Aggregate max without (a, b)\n  Func rate\n    Select up{a!="x"} [2h]\n',
+    "avg(up[1500ms])": None,
+}
+
+
+def _tree(text: str) -> str | None:
+    try:
+        return language.explain(language.plan(text))
+    except language.QueryError:
+        return None
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("CAST(NULL AS VARCHAR)" if x is None else "'" + x.replace("'", "''") + "'" for x in pair) + ")" for pair in _PLANS.items()) + ") v(text, plan)")
 def explain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = language.explain(language.plan('sum by (status) (count_over_time(m{status="200"}[10m]))'))
-    return spark.createDataFrame([(text,)], "plan string")
+    """Every kind of node as text; null for a text that is refused."""
+    return spark.createDataFrame([(text, _tree(text)) for text in _PLANS], "text string, plan string")
 
 
 @query(

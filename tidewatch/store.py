@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -45,6 +49,22 @@ def with_series_id(points: DataFrame) -> DataFrame:
     return points.withColumn("series_id", series_key(F.col("name"), F.col("labels")))
 
 
+@contextmanager
+def scratch(spark: SparkSession, what: str) -> Iterator[str]:
+    """A folder that driver and executors share, deleted at the end: in spark.checkpoint.dir, or, for a local session without
+    one, a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.gettempdir()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    try:
+        yield path.toString()
+    finally:
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def empty_store(spark: SparkSession) -> Store:
     make = lambda schema: spark.createDataFrame([], schema)
     return Store(make(METRICS), make(SPANS), make(LOGS), latest=0)

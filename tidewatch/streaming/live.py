@@ -7,13 +7,15 @@ nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.exprs import duration_ms
 from ..model import LOGS, METRICS, SPANS
-from ..sources import envelope, otlp
+from ..sources import envelope, otlp, simulator
 from ..store import Store
 
 TABLES = {"metrics": METRICS, "spans": SPANS, "logs": LOGS}
@@ -51,6 +53,70 @@ def route(lines: DataFrame, base: str, once: bool = True) -> StreamingQuery:
     return writer.trigger(availableNow=True).start() if once else writer.start()
 
 
+#: Simulated requests: how many stand there at the start, and how many come each second.
+BACKFILL, EACH_SECOND = 2000, 4
+
+
+def ticks(spark: SparkSession, each_second: int = EACH_SECOND) -> DataFrame:
+    """A stream of numbers ``value`` from 0, the same again after a failure."""
+    return spark.readStream.format("rate").option("rowsPerSecond", each_second).load()
+
+
+def feed(numbers: DataFrame, base: str, backfill: int = BACKFILL, seed: int = 7, start_ns: int = 1_700_000_000_000_000_000) -> StreamingQuery:
+    """Simulated requests, appended to base/metrics, base/spans and base/logs: a backfill first (not again when a feed is taken
+    up), then one for each number of the stream, these also as events to base/events. Values follow from the request's number, so
+    a repeated batch writes the same again."""
+
+    def write(rows: DataFrame, part: str) -> Store:
+        made = simulator.store_of(simulator.numbered(rows, seed, start_ns))
+        for name in TABLES:
+            getattr(made, name).write.mode("overwrite").parquet(f"{base}/{name}/batch={part}")
+        return made
+
+    def follow(rows: DataFrame, number: int) -> None:
+        made = write(rows, str(number))
+        event_json(request_events(made.spans)).write.mode("overwrite").parquet(f"{base}/events/batch={number}")
+
+    if not _exists(numbers.sparkSession, f"{base}/_feed"):
+        write(numbers.sparkSession.range(backfill).withColumnRenamed("id", "n"), "backfill")
+    following = numbers.select((F.col("value") + backfill).alias("n"))
+    return following.writeStream.foreachBatch(follow).option("checkpointLocation", f"{base}/_feed").start()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def events(spark: SparkSession, base: str) -> DataFrame:
+    """The stream of the events that a feed or ``publish`` writes to base/events, as JSON texts ``value``."""
+    return spark.readStream.schema("value string").option("recursiveFileLookup", "true").parquet(f"{base}/events")
+
+
+def publish(spans: DataFrame, base: str, once: bool = True) -> StreamingQuery:
+    """The request events of a stream of spans, appended to base/events."""
+    writer = event_json(request_events(spans)).writeStream.format("parquet").option("path", f"{base}/events").option("checkpointLocation", f"{base}/_events")
+    return writer.trigger(availableNow=True).start() if once else writer.start()
+
+
+#: How many events wait for a subscriber.
+BACKLOG = 256
+
+
+def subscribe(published: DataFrame, send: Callable[[list[str]], None], checkpoint: str, backlog: int = BACKLOG, once: bool = True) -> StreamingQuery:
+    """Hands the events of each micro-batch to ``send``, in order of time. A subscriber that lags behind skips ahead: of a
+    micro-batch of more than ``backlog`` events it gets the last, and no more than those come to the driver."""
+
+    def hand(batch: DataFrame, number: int) -> None:
+        at = F.get_json_object("value", "$.timestamp_ns").cast("long")
+        rows = batch.select(at.alias("at"), "value").orderBy(F.desc("at"), "value").limit(backlog).collect()
+        if rows:
+            send([r.value for r in sorted(rows, key=lambda r: (r.at, r.value))])
+
+    writer = published.writeStream.foreachBatch(hand).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start() if once else writer.start()
+
+
 def exports(spark: SparkSession, folder: str, base: str) -> StreamingQuery:
     """OTLP bodies that land in a folder, appended to base/spans; the errors of those that don't decode to base/errors, as
     (body_id, error)."""
@@ -79,7 +145,7 @@ def request_events(spans: DataFrame) -> DataFrame:
     failed = F.col("status") == "Error"
     return roots.select(
         F.lit("request").alias("kind"), "trace_id", F.col("name").alias("route"), F.when(failed, 500).otherwise(200).alias("status"),
-        duration_ms(F.col("start_ns"), F.col("end_ns")).alias("duration_ms"), failed.alias("failed"), F.col("end_ns").alias("timestamp_ns"),
+        duration_ms(F.col("start_ns"), F.col("end_ns")).alias("duration_ms"), failed.alias("failed"), F.col("start_ns").alias("timestamp_ns"),
     )
 
 
