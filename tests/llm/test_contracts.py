@@ -312,3 +312,32 @@ def test_hot_keys_join_like_all_others(spark, kind, monkeypatch):
         want = left.join(right.drop("weight"), "k", how)
         text = lambda df: collections.Counter((str(r.k), r.v, r.x) for r in df.collect())
         assert text(got) == text(want)
+
+
+def test_dedup_queries_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(3)
+    vocabulary = [f"Wort{k}" for k in range(60)]
+    texts = [None, None, "", "   ", "one two", "One TWO", "a b a b a b a b a b a b a b a b", "a b a b a b a b a b a b a b"]
+    for _ in range(25):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([4, 6, 60]))]
+        texts += [" ".join(base), "\t".join([*base, "tail"]), " ".join(base[:-3] + ["x"] * rng.choice([0, 2, 30])).lower()]
+    rows = [(k if k % 9 else None, t, "x") for k, t in enumerate(texts)] + [(1, texts[20], "y"), (1, texts[20], "z"), (2, "again", "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, component_id string").write.parquet(str(tmp_path / "documents.parquet"))
+    dim = 6
+    points = [[rng.gauss(0, 1) for _ in range(dim)] for _ in range(30)]
+    vectors = [(k, [x + rng.gauss(0, 0.12) for x in points[k % 30]], k % 2) for k in range(300)]
+    vectors += [(1, vectors[0][1], 0), (1, vectors[0][1], 0), (400, None, 0), (401, [0.0] * dim, 0), (402, [None, *[1.0] * 5], 0), (403, [math.inf, *[1.0] * 5], 0), (404, [math.nan, *[1.0] * 5], 0), (405, [], 0)]
+    vectors += [(406, points[0], None), (407, [2 * x for x in vectors[2][1]], 0), (None, vectors[2][1], 0), (408, vectors[2][1][:5], 0), (None, None, None)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for query, sql in ((minhash_dedup.op10_bag_minhash, minhash_dedup.OP10_SQL), (embedding_dedup.op9_hnsw_dedup, embedding_dedup.OP9_SQL)):
+        found = con.execute(sql)
+        names = [c[0] for c in found.description]
+        want = collections.Counter(found.fetchall())
+        got = collections.Counter(tuple(r) for r in query(spark, str(tmp_path)).select(*names).collect())
+        assert got == want, (query.__name__, sorted((got - want).items(), key=str)[:5], sorted((want - got).items(), key=str)[:5])
+    assert sum(n for _, n in want.items()) == len(vectors) and any(r[names.index("n_links")] > 3 for r in want)

@@ -367,3 +367,23 @@ def near_embeddings(df: DataFrame, key: str = "vec_id", vector: str = "embedding
 def op9_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings against all of their label."""
     return near_embeddings(table(spark, sf_dir, "embeddings")).withColumnRenamed("component", "component_id")
+
+
+#: Every pair of a label, then what each row reaches by links; rows are told apart by number, so repeated ones link.
+OP9_SQL = f"""
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), ok AS MATERIALIZED (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r WHERE list_cosine_similarity(a.e, b.e) >= {COSINE}
+), reach AS (
+  SELECT r, r AS seen FROM v UNION SELECT reach.r, links.b FROM reach JOIN links ON reach.seen = links.a
+), comp AS (
+  SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.seen GROUP BY reach.r
+), counted AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept
+FROM v JOIN comp ON comp.r = v.r LEFT JOIN counted ON counted.a = v.r
+"""

@@ -408,3 +408,29 @@ def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class: the smallest doc_id of its near-duplicates, and whether it is the one to keep."""
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.col("component").alias("component_id"), F.col("first").alias("kept"))
+
+
+#: Every pair that shares a shingle, decided exactly, then what each row reaches by links. The white space of the class is
+#: that of Python's split().
+OP10_SQL = rf"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x09-\x0D\x1C-\x20\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+'), lambda w: w <> '') AS w
+  FROM documents
+), s AS (
+  SELECT r, unnest(list_transform(range(1, len(w) - least({WORDS}, len(w)) + 2), lambda i: list_aggregate(w[i:i + {WORDS} - 1], 'string_agg', ' '))) AS shingle FROM d WHERE len(w) > 0
+), bags AS MATERIALIZED (
+  SELECT r, shingle, count(*) AS c FROM s GROUP BY r, shingle
+), sizes AS MATERIALIZED (
+  SELECT r, sum(c) AS n FROM bags GROUP BY r
+), shared AS (
+  SELECT a.r AS a, b.r AS b, sum(least(a.c, b.c)) AS n FROM bags a JOIN bags b ON a.shingle = b.shingle AND a.r <> b.r GROUP BY a.r, b.r
+), links AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE shared.n >= {SIMILARITY} * (x.n + y.n - shared.n)
+), reach AS (
+  SELECT r, r AS seen FROM d UNION SELECT reach.r, links.b FROM reach JOIN links ON reach.seen = links.a
+), comp AS (
+  SELECT reach.r, min(reach.seen) AS class, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.seen GROUP BY reach.r
+)
+SELECT doc_id, component_id, row_number() OVER (PARTITION BY class ORDER BY doc_id NULLS LAST) = 1 AS kept FROM d JOIN comp ON comp.r = d.r
+"""
