@@ -143,3 +143,22 @@ def test_series_ids_are_fnv(spark):
     cases = [("cpu", {"b": "2", "a": "1"}), ("cpu", {}), ("ü", {"k": "ñ"})]
     df = spark.createDataFrame(cases, "name string, labels map<string,string>")
     assert [r[0] for r in df.select(X.fnv_series_id(F.col("name"), F.col("labels"))).collect()] == [fnv(*c) for c in cases]
+
+
+@pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.9, 1.0, 7.0])
+def test_quantiles_of_groups(spark, q):
+    r = random.Random(5)
+    held = min(max(q, 0.0), 1.0)
+    points = [("m", {"a": a, "b": str(k)} if a else {"b": str(k)}, 1, float(r.choice([1, 2, 2, 2, 7, 100, -3]))) for k, a in enumerate(["x"] * 31 + ["y"] * 8 + ["z"] + [""] * 6)]
+    s = store_of(spark, points)
+    for text, key in ((f"quantile by (a) ({q}, m)", lambda labels: tuple((k, v) for k, v in labels.items() if k == "a")), (f"quantile({q}, m)", lambda labels: ())):
+        want = {}
+        for _, labels, _, value in points:
+            want.setdefault(key(labels), []).append(value)
+        got = vector(compiler.query(s, text))
+        assert got == {k: pytest.approx(brute([(0, x) for x in v], "quantile_over_time", held)) for k, v in want.items()}
+    nan = store_of(spark, [("m", {"a": "1"}, 1, math.nan), ("m", {"a": "1"}, 2, 4.0), ("m", {"a": "2"}, 1, math.inf), ("m", {"a": "2"}, 2, 1.0), ("m", {"a": "3"}, 1, -math.inf), ("m", {"a": "3"}, 2, 1.0)])
+    found = vector(compiler.query(nan, "quantile_over_time(0, m[1m])"))
+    assert found == {(("a", "1"),): 4.0, (("a", "2"),): 1.0, (("a", "3"),): -math.inf}
+    top = vector(compiler.query(nan, "quantile_over_time(0.5, m[1m])"))
+    assert math.isnan(top[("a", "1"),]) and top[("a", "2"),] == math.inf and top[("a", "3"),] == -math.inf

@@ -67,16 +67,36 @@ def median(v: Column) -> Column:
 
 
 def linear_quantile(v: Column, q: float) -> Column:
-    """Linear interpolation between closest ranks, q held to [0, 1]."""
-    return F.percentile(v, min(max(q, 0.0), 1.0) if q == q else 0.0)
+    """Linear interpolation between closest ranks, q held to [0, 1]. It holds a map of a group's distinct values, which
+    ``linear_ranks`` does not."""
+    return F.percentile(v, _held(q))
 
 
-def nearest_ranks(rows: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """(by, n, a column a quantile) of the values' nearest ranks in each group. Equal values are counted before they are
-    ordered, and the ordered counts stream: no group is held as an array."""
+def _held(q: float) -> float:
+    return min(max(q, 0.0), 1.0) if q == q else 0.0
+
+
+def _ranked(rows: DataFrame, by: list[str], group: list[str], value: str) -> DataFrame:
+    """(by, value, _c, _upto, _n): how often a value occurs in its group, the number of values up to it, and of all. Equal values
+    are counted before they are ordered, and the ordered counts stream: no group is held as an array. ``group`` are columns
+    of ``by`` that tell the groups apart."""
     counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    whole = Window.partitionBy(*by)
-    ranked = counted.withColumns({"_upto": F.sum("_c").over(whole.orderBy(value)), "_n": F.sum("_c").over(whole)})
+    whole = Window.partitionBy(*group)
+    return counted.withColumns({"_upto": F.sum("_c").over(whole.orderBy(value)), "_n": F.sum("_c").over(whole)})
+
+
+def linear_ranks(rows: DataFrame, by: list[str], group: list[str], value: str, q: float) -> DataFrame:
+    """(by, value) of each group's linear quantile; groups without a value have none."""
+    at = F.lit(_held(q)) * (F.col("_n") - 1)
+    of_rank = lambda r: F.min(F.when(F.col("_upto") > r, F.col(value)))
+    ends = _ranked(rows.where(F.col(value).isNotNull()), by, group, value).groupBy(*by).agg(of_rank(F.floor(at)).alias("_low"), of_rank(F.ceil(at)).alias("_high"), F.max(at - F.floor(at)).alias("_share"))
+    between = F.col("_low") * (1 - F.col("_share")) + F.col("_high") * F.col("_share")
+    return ends.select(*by, F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(between).alias(value))
+
+
+def nearest_ranks(rows: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """(by, n, a column a quantile) of the values' nearest ranks in each group."""
+    ranked = _ranked(rows, by, by, value)
     at = lambda q: F.round(F.lit(q) * (F.col("_n") - 1)).cast("long")
     return ranked.groupBy(*by).agg(F.max("_n").alias("n"), *(F.coalesce(F.min(F.when(F.col("_upto") > at(q), F.col(value))), F.lit(0.0)).alias(c) for c, q in quantiles.items()))
 

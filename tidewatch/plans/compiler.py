@@ -68,6 +68,8 @@ def over_range(store: Store, f: L.Func, at_ns: int) -> DataFrame:
     rows = between_ns(matching(store.metrics, f.input), start_ns, at_ns)
     if f.name in ("rate", "increase"):
         found = _counter(rows, f.name, start_ns // 1_000_000, at_ns // 1_000_000)
+    elif f.name == "quantile_over_time":
+        found = X.linear_ranks(rows, ["series_id", "labels"], ["series_id"], "value", f.param)
     else:
         v = F.col("value")
         value = {
@@ -76,7 +78,6 @@ def over_range(store: Store, f: L.Func, at_ns: int) -> DataFrame:
             "min_over_time": lambda: X.min_number(v, X.NAN),
             "max_over_time": lambda: X.max_number(v, X.NAN),
             "count_over_time": lambda: F.count(v).cast("double"),
-            "quantile_over_time": lambda: X.linear_quantile(v, f.param),
         }[f.name]()
         # Labels are a group column, not a first(): a map in the buffer would force a sort in place of hashing.
         found = rows.groupBy("series_id", "labels").agg(value.alias("value"))
@@ -124,6 +125,10 @@ def aggregated(vector: DataFrame, op: str, grouping: tuple[str, tuple[str, ...]]
         within = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
         held = lambda k, _: F.array_contains(within, k)
         labels = F.map_filter("labels", held if how == "by" else lambda k, v: ~held(k, v))
+    if op == "quantile":
+        # A window needs keys with an order, which maps lack: their entries by key stand for them.
+        keyed = vector.select(F.array_sort(F.map_entries(labels)).alias("entries"), "value")
+        return X.linear_ranks(keyed, ["entries"], ["entries"], "value", param).select(F.map_from_entries("entries").alias("labels"), "value")
     v = F.col("value")
     value = {
         "sum": lambda: F.sum(v),
@@ -131,7 +136,6 @@ def aggregated(vector: DataFrame, op: str, grouping: tuple[str, tuple[str, ...]]
         "min": lambda: X.min_number(v, X.INF),
         "max": lambda: X.max_number(v, -X.INF),
         "count": lambda: F.count(F.lit(1)).cast("double"),
-        "quantile": lambda: X.linear_quantile(v, param),
     }[op]()
     return vector.withColumn("labels", labels).groupBy("labels").agg(value.alias("value"))
 
