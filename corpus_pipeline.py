@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import minhash_dedup, packing, secret_scan, toxicity
-from tidewatch.llm.common import durable, hot_join, map_columns, table
+from tidewatch.llm.common import durable, hot_join, in_slots, map_columns, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -43,7 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     name = F.concat("same", F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "UTF-8"))
     # Only what is not a single first row is told to the documents.
     found = minhash_dedup.near_classes(docs.select("doc_id", "text")).where("same IS NOT NULL AND (NOT lead OR n > 1)")
-    found = durable(found.select(name.alias("name"), "n", "lead"), "pipeline-classes")
+    found = durable(found.select("doc_id", name.alias("name"), "n", "lead"), "pipeline-classes")
     schema = docs.select(*COLUMNS)._jdf.schema().toDDL()
 
     def make():
@@ -54,11 +54,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
         return run
 
-    marked = map_columns(docs.select(*COLUMNS), make, f"{schema}, same binary").withColumn("name", name)
-    flagged = hot_join(marked, found.withColumn("weight", F.col("n")), "name", "weight", docs.count(), "left")
-    single, several = flagged.where("lead IS NULL"), flagged.where("lead")
-    one = several.groupBy("name").agg(F.min(F.struct(*COLUMNS)).alias("r"))
-    return single.select(*COLUMNS).unionByName(one.select("r.*"))
+    # Texts are moved, and once, only where their doc_id may be found; all others stay as they are.
+    asked, others = in_slots(docs.select(*COLUMNS), found, "doc_id")
+    marked = map_columns(asked, make, f"{schema}, same binary").withColumn("name", name)
+    flagged = hot_join(marked, found.select("name", "lead", F.col("n").alias("weight")), "name", "weight", docs.count(), "left")
+    flagged = durable(flagged.where("lead IS NULL OR lead").select(*COLUMNS, "name", "lead"), "pipeline-flagged")
+    one = flagged.where("lead").groupBy("name").agg(F.min(F.struct(*COLUMNS)).alias("r"))
+    return others.unionByName(flagged.where("lead IS NULL").select(*COLUMNS)).unionByName(one.select("r.*"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -484,3 +484,35 @@ def test_pipeline_on_small_data(spark, tmp_path):
     assert masked.where("doc_id = 302").first().text is None
     assert {r.doc_id for r in P.run(spark, str(tmp_path)).collect()} == ids - {300, 301}
     assert [n for n, _ in P.STAGES] == ["toxicity", "near_duplicates", "secrets", "packing"]
+
+
+def test_pipeline_moves_texts_only_of_what_may_go(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as P
+
+    def written():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    rng = random.Random(12)
+    made = lambda: " ".join(f"{rng.getrandbits(60):x}" for _ in range(800))
+    texts = [made() for _ in range(300)]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    gone = [(1000 + k, texts[k] + " tail") for k in range(5)] + [(2000, texts[9].upper()), (9, texts[9]), (None, texts[30])]
+    # Under a found doc_id other words stay, as does what has no words; of equal rows that lead, one stays.
+    stay = [(1000, made()), (9, made()), (None, made()), (1001, None), (None, None), (None, None), (2000, " "), (None, made())]
+    again = (stay[2][0], stay[2][1])
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(*r, "en", "s", 1) for r in [*rows, *gone, *stay, again]], schema).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    size, threshold = sum(len(t) for t in texts), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        got = P.drop_near_duplicates(spark, docs, str(tmp_path)).collect()
+        assert written() - before < size / 2
+        assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter(rows + stay)
+        monkeypatch.setattr(common, "SLOTS", 64)
+        shared = P.drop_near_duplicates(spark, docs, str(tmp_path)).collect()
+        assert collections.Counter(shared) == collections.Counter(got)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

@@ -104,6 +104,21 @@ def hot_join(left: DataFrame, right: DataFrame, on: str, weight: str, total: int
     return hot.unionByName(left.where(~among).join(right.where(~is_hot).drop(weight), on, how))
 
 
+#: Slots of hashed keys, 64 of which are one broadcast row: 2^20 rows at most, however many keys there are.
+SLOTS = 1 << 26
+
+
+def in_slots(df: DataFrame, keys: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose integer ``on`` may be among that of keys (null like any other), then all others. Neither is moved:
+    the slots that keys take are broadcast as bits, so what shares a slot with a key counts as one, too."""
+    slot = f"pmod(xxhash64(cast(`{on}` AS long)), {SLOTS}L)"
+    word, bit = F.expr(f"{slot} div 64"), f"cast({slot} % 64 AS int)"
+    taken = keys.select(word.alias("_word"), F.expr(f"shiftleft(1L, {bit})").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_taken"))
+    held = df.withColumn("_word", word).join(F.broadcast(taken), "_word", "left")
+    maybe = F.coalesce(F.expr(f"bit_get(_taken, {bit})"), F.lit(0).cast("tinyint")) == 1
+    return held.where(maybe).select(*df.columns), held.where(~maybe).select(*df.columns)
+
+
 def numbered(df: DataFrame, group: list[str], order: list[str], out: str, weight: str | None = None) -> DataFrame:
     """Adds ``out``: a number from 0, gapless in each group, by hashed bucket and then by ``order``.
 

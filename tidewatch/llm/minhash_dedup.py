@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, durable, grouped_rows, hot_join, map_columns, repeated, shuffle_width, small_batches, table
+from .common import arrow_schema, durable, grouped_rows, hot_join, in_slots, map_columns, repeated, shuffle_width, small_batches, table
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -367,7 +367,7 @@ def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     near = durable(near_pairs(members), "near")
     wanted = members.select("id").distinct().join(texts.select("id", "least", "same"), "id")
     source = df.select(F.col(key).cast("long").alias("least"), F.col(text).alias("text"))
-    keyed = map_columns(source.join(wanted.select("least").distinct(), "least", "left_semi"), _digests, "least long, same binary, text string")
+    keyed = map_columns(in_slots(source.where("least IS NOT NULL"), wanted, "least")[0], _digests, "least long, same binary, text string")
     # Texts that occur only under null keys are found by their words.
     unkeyed = map_columns(source.where("least IS NULL"), _digests, "least long, same binary, text string")
     found = keyed.join(wanted, ["least", "same"]).select("id", "text").unionByName(unkeyed.join(wanted.where("least IS NULL").select("id", "same"), "same").select("id", "text"))
